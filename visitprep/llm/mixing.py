@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, *, share: float = SHARE, weights: tuple[int, ...]
         .withColumn("budget", F.least(F.sum("source_size").over(all_rows) * float(share), F.sum("cap").over(all_rows)))
         .withColumn("level", (F.col("budget") - F.col("caps_below")) / F.col("weights_left"))
     )
-    reached = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows)
+    # The first source that stays under its cap has the level; later ones would see a lower one.
+    reached = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows)
     return level.withColumn("reached", reached).select(
         "src", "source_size", "budget", F.when(F.col("reached").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("reached") * F.col("weight"))).alias("target")
     )
