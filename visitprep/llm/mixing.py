@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, *, share: float = SHARE, weights: tuple[int, ...]
     # The first source that stays under its cap has the level; later ones would see a lower one.
     reached = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows)
     return level.withColumn("reached", reached).select(
-        "src", "source_size", "budget", F.when(F.col("reached").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("reached") * F.col("weight"))).alias("target")
+        *[c for c in sizes.columns if c != "source_size"], "source_size", "budget", F.when(F.col("reached").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("reached") * F.col("weight"))).alias("target")
     )
 
 
@@ -70,23 +70,26 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = docs.select(
         F.struct(*[F.col(c) for c in kept]).alias("row"),
         F.col(source_col).alias("src"),
+        F.col(source_col).isNull().alias("no_src"),
+        F.coalesce(F.col(source_col), F.lit("")).alias("key"),
         word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("place"),
         F.xxhash64(F.lit(seed), F.col(text_col)).alias("tie"),
     ).withColumn("bucket", F.shiftrightunsigned("place", 1) % F.lit(buckets))
     # "place" orders documents by its own bits beyond the bucket; any fixed order of buckets will do.
-    per_bucket = rows.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sizes = per_bucket.groupBy("src").agg(F.sum("bucket_size").alias("source_size"))
+    # Sources are keyed by two columns without nulls, so that windows and joins share one partitioning.
+    key = ["no_src", "key"]
+    per_bucket = rows.groupBy(*key, "bucket").agg(F.first("src").alias("src"), F.sum("size").alias("bucket_size"))
+    sizes = per_bucket.groupBy(*key).agg(F.first("src").alias("src"), F.sum("bucket_size").alias("source_size"))
     goal = targets(sizes, share=share, weights=weights, max_repeats=max_repeats)
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size")
-    plan = starts.alias("a").join(goal.alias("g"), F.col("a.src").eqNullSafe(F.col("g.src"))).select("a.src", "bucket", "before", "source_size", "budget", "target")
-    own = Window.partitionBy("src", "bucket").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    plan = starts.drop("src").join(goal.drop("src"), key)
+    own = Window.partitionBy(*key, "bucket").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("within", F.sum("size").over(own))
     placed = (
-        summed.alias("r")
-        .join(plan.alias("p"), F.col("r.src").eqNullSafe(F.col("p.src")) & (F.col("r.bucket") == F.col("p.bucket")))
-        .select("row", "r.src", "size", "place", "tie", "source_size", "budget", "target", (F.col("before") + F.col("within")).alias("upto"))
+        summed.join(plan, [*key, "bucket"])
+        .select("row", "size", "place", "tie", "source_size", "budget", "target", (F.col("before") + F.col("within")).alias("upto"))
         .withColumn("finish", F.when(F.col("target") > 0, F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: (F.col("upto") + e * F.col("source_size")) / F.col("target"))).otherwise(F.array().cast("array<double>")))
     )
     spot = lambda f: F.least(F.floor(f * (RANGES / 2)), F.lit(4 * RANGES * max_repeats)).cast("long")
