@@ -2,9 +2,9 @@
 
 Every white-space token contributes a vector of its own and one for each of its character n-grams,
 all learned and found by hash.  A token that repeats the one before it adds a word bigram, written as
-a back reference, so that all such bigrams share one learned vector.  A document is the average of these vectors, and a softmax over the
-average gives the class.  Training is stochastic gradient descent in numpy on a bounded, documented
-sample of labelled rows.  The average is linear, so scoring adds up, for each token, a sum of class
+a back reference, so that all such bigrams share one learned vector.  A document is the average of
+these vectors, and a softmax over the average gives the class.  Training is stochastic gradient
+descent in numpy on a bounded, documented sample of labelled rows.  The average is linear, so scoring adds up, for each token, a sum of class
 scores and a number of features that a worker computes once for each distinct token.
 """
 

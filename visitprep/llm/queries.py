@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -21,6 +27,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    return quality.score(docs, model)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
