@@ -35,6 +35,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_array
+
+    return suffix_array.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -59,6 +65,12 @@ def op9_lattice_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree
+
+    return suffix_tree.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
