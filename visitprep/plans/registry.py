@@ -272,7 +272,7 @@ _FORMS = {
     "iso_t": ("date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss\")", "strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S')", "l_shipdate"),
     "us_minutes": ("concat(date_format(l_shipdate, 'MM/dd/yyyy'), ' 08:30')", None, "l_shipdate + interval 510 minute"),
     "zulu": ("concat(date_format(l_shipdate, 'yyyy-MM-dd'), ' 14:05:00 Z')", None, "l_shipdate + interval 845 minute"),
-    "trailing": ("concat(date_format(l_shipdate, 'yyyy-MM-dd'), ' noon')", None, "l_shipdate"),
+    "with_text": ("concat(date_format(l_shipdate, 'yyyy-MM-dd'), ' noon')", None, "l_shipdate"),
     "junk": ("concat('no time ', l_linenumber)", None, "cast(null as timestamp)"),
 }
 
