@@ -199,7 +199,9 @@ def link_encounters(
     episode, own_class = Window.partitionBy(*key), Window.partitionBy(*key, "patient_class")
     first = F.col("__first")
     long = (
-        long.withColumn("__first", F.min(col(TIME)).over(own_class))
+        # One shuffle by the coarse key: its partitioning serves the finer windows too.
+        long.repartition(*key)
+        .withColumn("__first", F.min(col(TIME)).over(own_class))
         .withColumns({
             # One entry for each class, however many rows an episode has.
             ".patient_class_sequence": class_sequence(F.collect_set(F.struct(first.isNull().alias("untimed"), first.alias("time"), F.col("patient_class").alias("class"))).over(episode)),
