@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Index) -> DataFrame:
     digests = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64("text").alias("check"))
     low = digests.groupBy("digest", "check").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     low = common.written(low, "copied")
-    copies = common.written(digests.join(low, ["digest", "check"]).filter("doc_id > copy_of").select("doc_id", "copy_of"), "copies")
+    copies = common.written(digests.join(low, ["digest", "check"]).filter("doc_id > copy_of").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of")), "copies")
 
     def merge(table: pa.Table) -> pa.Table:
         ids, starts, sizes, pieces = [], [], [], []
