@@ -78,8 +78,8 @@ def _all_representatives(texts: list[bytes], unit: Unit) -> list[np.ndarray]:
     return [np.unique(r[np.flatnonzero(np.diff(r, prepend=~r[:1]))]) if len(r) else r for r in (representatives(unit.cut(t)[0], unit) for t in texts)]
 
 
-def repeated_prints(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(doc_id, print): fingerprints of each document that another document has too.
+def repeated_prints(docs: DataFrame, unit: Unit, n: int) -> DataFrame:
+    """(doc_id, print): fingerprints of each document that another document has too, by ``n`` buckets.
 
     The fingerprints are the 48 low bits; taking two for one costs a look at pieces that differ.
     """
@@ -128,7 +128,6 @@ def repeated_prints(docs: DataFrame, unit: Unit) -> DataFrame:
         more = [np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8") for c in ("known_ids", "known")]
         return pa.table({"doc_id": np.concatenate([ids, more[0]]), "print": np.concatenate([values, more[1]])})
 
-    n = exchange.buckets(docs)
     names = ["bucket", "prints", "times", "ids", "known_ids", "known"]
     sent = docs.mapInArrow(run, "bucket long, prints binary, times binary, ids binary, known_ids binary, known binary")
     return sent.groupBy("bucket").applyInArrow(merge, "doc_id long, print long")
@@ -257,7 +256,8 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Index) -> DataFrame:
     # The one shuffle of texts: both joins below read it.
     singles = texts.join(copies, "doc_id", "left")
     fresh = singles.filter("copy_of is null").select("doc_id", "text")
-    prints = repeated_prints(fresh, unit)
+    # The number of buckets follows the scan: sizes that Catalyst gives joined frames mean nothing.
+    prints = repeated_prints(fresh, unit, exchange.buckets(docs))
     listed = prints.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
     packed = _pieces(fresh.join(listed, "doc_id"), unit, shards)
     spans = packed.groupBy("shard").applyInArrow(merge, "doc_id long, first long, last long")
