@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Sub-batches are cut at this many bytes of text, so that the numpy temporaries of one step stay
 # bounded whatever the number of rows in an Arrow batch.  A longer text is a sub-batch of its own.
@@ -29,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of a frame.
+
+    A column that has its name and type already is passed on as it is: an alias would keep Spark from
+    seeing that two uses of the frame can share one shuffle.
+    """
+    ident = F.col(id_col) if id_col == "doc_id" and dict(docs.dtypes)[id_col] == "bigint" else F.col(id_col).cast("long").alias("doc_id")
+    return docs.select(ident, F.col(text_col) if text_col == "text" else F.col(text_col).alias("text"))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` in bytes (file sizes for a scan); starts no job."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -253,13 +253,12 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Index) -> DataFrame:
             out = [np.concatenate([out[0], ids[rows]]), np.concatenate([out[1], starts[rows] + np.repeat(a, times)]), np.concatenate([out[2], starts[rows] + np.repeat(b, times)])]
         return pa.table({"doc_id": out[0], "first": out[1], "last": out[2]})
 
-    # The one shuffle of texts: both joins below read it.
-    singles = texts.join(copies, "doc_id", "left")
-    fresh = singles.filter("copy_of is null").select("doc_id", "text")
+    fresh = texts.join(copies, "doc_id", "left_anti")
     # The number of buckets follows the scan: sizes that Catalyst gives joined frames mean nothing.
     prints = repeated_prints(fresh, unit, exchange.buckets(docs))
     listed = prints.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
-    packed = _pieces(fresh.join(listed, "doc_id"), unit, shards)
+    # Texts are shuffled once: this join and the last one read the same exchange.
+    packed = _pieces(texts.join(listed, "doc_id"), unit, shards)
     spans = packed.groupBy("shard").applyInArrow(merge, "doc_id long, first long, last long")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return singles.join(by_doc, "doc_id", "left")
+    return texts.join(by_doc, "doc_id", "left").join(copies, "doc_id", "left")

@@ -345,7 +345,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     differ each loses what is found for any of them.  An empty table gives no rows; further columns
     are ignored.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = common.documents(docs, id_col, text_col)
     found = repeats.repeated_spans(given.filter("doc_id is not null"), UNIT, index)
     rest = given.filter("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("array<struct<first:long,last:long>>").alias("spans"))
 
