@@ -62,7 +62,11 @@ def check_jaccard(frame):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), links.root(r.doc_id))
 
 
-def test_jaccard(spark, awkward, empty):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_jaccard(spark, awkward, empty, crowded, monkeypatch):
+    if crowded:  # every group as if it were a large one, families and groups in many blocks
+        monkeypatch.setattr(jaccard, "PAIRED", 1)
+        monkeypatch.setattr(jaccard, "BLOCK", 3)
     check_jaccard(awkward)
     assert jaccard.components(empty).count() == 0
     rng = random.Random(8)
