@@ -133,7 +133,7 @@ def repeated_prints(docs: DataFrame, unit: Unit, n: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(merge, "doc_id long, print long")
 
 
-PIECES = "shard long, ids binary, starts binary, sizes binary, pieces binary, done_ids binary, done_starts binary, done_ends binary"
+PIECES = "shard long, ids binary, starts binary, sizes binary, marks binary, pieces binary, done_ids binary, done_starts binary, done_ends binary"
 
 
 def _pieces(texts_with_prints: DataFrame, unit: Unit, shards: int) -> DataFrame:
@@ -176,26 +176,22 @@ def _pieces(texts_with_prints: DataFrame, unit: Unit, shards: int) -> DataFrame:
 
 
 def _packed(best: dict, done: list, shards: int) -> pa.RecordBatch:
-    rows: dict[int, list[list]] = {}
+    """One row for each shard: its pieces, and the spans that need no shard, spread by document."""
+    rows: dict[int, tuple[list, list]] = {}
     for (mark, piece), (doc_id, starts, size) in best.items():
-        shard = (mark * 0x9E3779B97F4A7C15 >> 20) % shards
-        to = rows.setdefault(shard, [[] for _ in range(7)])
-        for start in starts:
-            for k, v in zip((0, 1, 2, 3), (doc_id, start, size, piece), strict=True):
-                to[k].append(v)
-    for doc_id, a, b in done:
-        shard = (doc_id * 0x9E3779B97F4A7C15 >> 20) % shards
-        to = rows.setdefault(shard, [[] for _ in range(7)])
-        for k, v in zip((4, 5, 6), (doc_id, a, b), strict=True):
-            to[k].append(v)
-    out: list[list] = [[] for _ in range(8)]
-    for shard, to in rows.items():
-        out[0].append(shard)
-        for k, dtype in ((0, "<i8"), (1, "<i8"), (2, "<i4"), (4, "<i8"), (5, "<i8"), (6, "<i8")):
-            out[k + 1].append(np.array(to[k], dtype).tobytes())
-        lengths = np.array([len(p) for p in to[3]], "<i4").tobytes()
-        out[4].append(len(to[3]).to_bytes(8, "little") + lengths + b"".join(to[3]))
-    kinds = [pa.int64()] + [pa.binary()] * 7
+        to = rows.setdefault((mark * 0x9E3779B97F4A7C15 >> 20) % shards, ([], []))[0]
+        to.extend((doc_id, start, size, mark, piece) for start in starts)
+    for span in done:
+        rows.setdefault((span[0] * 0x9E3779B97F4A7C15 >> 20) % shards, ([], []))[1].append(span)
+    out: list[list] = [[] for _ in range(9)]
+    for shard, (found, known) in rows.items():
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        numbers = [np.array(c, d).tobytes() for c, d in zip(columns[:4], ("<i8", "<i8", "<i4", "<i8"), strict=True)]
+        lengths = np.array([len(p) for p in columns[4]], "<i4").tobytes()
+        spans = [np.array(c, "<i8").tobytes() for c in (zip(*known, strict=True) if known else [()] * 3)]
+        for to, value in zip(out, (shard, *numbers, len(found).to_bytes(8, "little") + lengths + b"".join(columns[4]), *spans), strict=True):
+            to.append(value)
+    kinds = [pa.int64()] + [pa.binary()] * 8
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
 
@@ -217,7 +213,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Index) -> DataFrame:
     ``docs`` has one row for each id.  For exact copies of a text in a smaller document
     ``copy_of`` is that document's id, and ``spans`` is not filled in.
     """
-    shards = int(max(2 * common.shuffle_partitions(docs), -(-common.input_bytes(docs) // SHARD_BYTES)))
+    shards = int(max(4 * common.shuffle_partitions(docs), -(-common.input_bytes(docs) // SHARD_BYTES)))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digests = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64("text").alias("check"))
     low = digests.groupBy("digest", "check").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -225,9 +221,10 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Index) -> DataFrame:
     copies = common.written(digests.join(low, ["digest", "check"]).filter("doc_id > copy_of").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of")), "copies")
 
     def merge(table: pa.Table) -> pa.Table:
-        ids, starts, sizes, pieces = [], [], [], []
-        for a, b, c, blob in zip(*(table.column(x).to_pylist() for x in ("ids", "starts", "sizes", "pieces")), strict=True):
+        ids, starts, sizes, marks, pieces = [], [], [], [], []
+        for a, b, c, m, blob in zip(*(table.column(x).to_pylist() for x in ("ids", "starts", "sizes", "marks", "pieces")), strict=True):
             ids.append(np.frombuffer(a, "<i8"))
+            marks.append(np.frombuffer(m, "<i8"))
             starts.append(np.frombuffer(b, "<i8"))
             sizes.append(np.frombuffer(c, "<i4"))
             pieces += _unpack(blob)
@@ -239,7 +236,13 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Index) -> DataFrame:
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ids)
         whole = ids > least[which] if len(ids) else np.zeros(0, bool)
-        found = index(list(number), least) if len(number) > 0 else []
+        # A piece that is alone under its fingerprint has nothing to share a window with.
+        mark = np.zeros(len(number), np.int64)
+        mark[which] = np.concatenate(marks)
+        _, of, times = np.unique(mark, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(times[of] > 1)
+        distinct = list(number)
+        found = [(int(some[p]), a, b) for p, a, b in index([distinct[i] for i in some], least[some])] if len(some) else []
         out = [np.concatenate([ids[whole], done[0]]), np.concatenate([starts[whole], done[1]]), np.concatenate([(starts + sizes)[whole], done[2]])]
         if found:
             # A document may hold a piece of its own more than once.

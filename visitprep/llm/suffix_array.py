@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common, repeats
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 28
 #: Tuples a queue holds in memory, and local minima that are sorted directly.
 QUEUE_TUPLES, DIRECT = 1 << 22, 1 << 20
 INF = np.int64(1) << 40
@@ -217,35 +217,41 @@ def _types(text: np.ndarray) -> np.ndarray:
     return np.append(np.append(step, -1)[following] > 0, True)
 
 
-def _packed(text: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
-    """Words of eight characters (of bytes), or single characters, at every position up to ``depth``."""
+def _words(text: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """At every position the next eight characters as one number, or one character of a large alphabet."""
     pad = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
-    if width > 1:
-        word = np.zeros(len(text) + depth, np.uint64)
-        for k in range(width):
-            word = (word << np.uint64(8)) | pad[k : k + len(word)].astype(np.uint64)
-        return [word]
-    return [pad]
+    if len(text) and text.max() > 255:
+        return pad.astype(np.uint64), 1
+    word = np.zeros(len(text) + depth, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | pad[k : k + len(word)].astype(np.uint64)
+    return word, 8
 
 
 def _direct(text: np.ndarray, minima: np.ndarray, depth: int) -> np.ndarray:
-    """The minima sorted by their first ``depth`` characters."""
-    width = 8 if text.size and text.max() < 256 else 1
-    (word,) = _packed(text, depth, width)
-    keys = [word[minima + k] for k in range(0, depth, width)]
-    return minima[np.lexsort(keys[::-1])]
+    """The minima sorted by their first ``depth`` characters or some more."""
+    word, width = _words(text, depth)
+    return minima[np.lexsort([word[minima + k] for k in range(0, depth, width)][::-1])]
 
 
 def _common(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of neighbours, counted up to ``depth`` characters."""
-    pad = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
+    """Common prefixes of neighbours, exact up to ``depth`` characters."""
+    word, width = _words(text, depth)
     out = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
-    for k in range(depth):
-        live = live[pad[order[live] + k] == pad[order[live - 1] + k]]
+    for k in range(0, depth, width):
+        differ = word[order[live] + k] ^ word[order[live - 1] + k]
+        end = differ != 0
+        # Equal leading bytes of the first word that differs.
+        at = differ[end]
+        same = np.zeros(len(at), np.int64)
+        for i in range(1, width):
+            same += at >> np.uint64(8 * (width - i)) == 0
+        out[live[end]] = k + same
+        live = live[~end]
+        out[live] = k + width
         if not len(live):
             break
-        out[live] = k + 1
     return out
 
 
@@ -291,11 +297,12 @@ def suffix_array(text: np.ndarray, depth: int, *, direct: int = DIRECT, limit: i
 def index(pieces: list[bytes], least: np.ndarray, *, window: int = WINDOW, direct: int = DIRECT, limit: int = QUEUE_TUPLES) -> list[tuple[int, int, int]]:
     """Spans of each piece that windows starting in a piece of a smaller document cover."""
     sizes = np.array([len(p) for p in pieces], np.int64)
-    text = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8).astype(np.int16) + np.int16(1)
+    raw = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8)
     ends = np.cumsum(sizes + 1)
     starts = ends - sizes - 1
-    # 0 the sentinel, 1 the end of a piece, then bytes.
-    text = (text + np.int16(1)).astype(np.int16)
+    # 0 the sentinel, 1 the end of a piece, then the bytes that occur.
+    code = np.cumsum(np.bincount(raw, minlength=256) > 0).astype(np.int16) + np.int16(1)
+    text = code[raw]
     text[ends - 1] = 1
     text = np.append(text, np.int16(0))
     order, prefix = suffix_array(text, window, direct=direct, limit=limit)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common, repeats
 from .suffix_array import merged
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 #: Suffixes of which one tree is built.
 GROUP = 1 << 18
 
