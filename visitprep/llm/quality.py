@@ -27,11 +27,13 @@ EPOCHS, RATE, SEED = 4, 2.0, 7
 #: The bucket of the back-reference bigram, beside the hashed ones.
 REPEAT = BUCKETS
 #: Most labelled rows that training uses, and most characters of them: the sample's bound.
-TRAINING_ROWS, TRAINING_CHARS = 4000, 20_000_000
+TRAINING_ROWS, TRAINING_CHARS = 2000, 8_000_000
 #: A document is accepted from this score on.
 THRESHOLD = 0.3
 #: Tokens a worker keeps; further ones are computed anew in each step.
 CACHE_TOKENS = 600_000
+#: Tokens whose features are computed at a time.
+STEP_TOKENS = 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,7 +105,9 @@ def fit(docs: list[tuple[list[bytes], int]]) -> Model:
     output, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     distinct = sorted({t for tokens, _ in docs for t in tokens})
     number = {t: i for i, t in enumerate(distinct)}
-    ids, sizes = features(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    parts = [features(distinct[i : i + STEP_TOKENS]) for i in range(0, len(distinct), STEP_TOKENS)]
+    ids = np.concatenate([np.zeros(0, np.int32), *[p.astype(np.int32) for p, _ in parts]])
+    sizes = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
     ends = np.cumsum(sizes)
     prepared = []
     for tokens, label in docs:
@@ -114,7 +118,7 @@ def fit(docs: list[tuple[list[bytes], int]]) -> Model:
             bucket, inverse = np.unique(flat, return_inverse=True)
             weight = np.bincount(inverse, np.repeat(times, sizes[own])).astype(np.float32)
             if repeats := int((at[1:] == at[:-1]).sum()):
-                bucket, weight = np.append(bucket, REPEAT), np.append(weight, np.float32(repeats))
+                bucket, weight = np.append(bucket, np.int32(REPEAT)), np.append(weight, np.float32(repeats))
             prepared.append((bucket, weight / weight.sum(), label))
     steps, done = max(1, EPOCHS * len(prepared)), 0
     for _ in range(EPOCHS):
@@ -155,7 +159,7 @@ class Scorer:
             self.known, self.sums, self.counts = {}, np.zeros(0), np.zeros(0)
             new = list({t for tokens in docs for t in tokens})
         if new:
-            sums, counts = zip(*(self._learn(new[i : i + 50_000]) for i in range(0, len(new), 50_000)), strict=True)
+            sums, counts = zip(*(self._learn(new[i : i + STEP_TOKENS]) for i in range(0, len(new), STEP_TOKENS)), strict=True)
             self.known.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
             self.sums, self.counts = np.concatenate([self.sums, *sums]), np.concatenate([self.counts, *counts])
         out, known = np.zeros(len(docs)), self.known
