@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common, exchange
 
+#: Bytes of text that are packed together, which bounds a worker's arrays.
+PACK_BYTES = 8 << 20
 #: Input bytes for each shard of pieces.
 SHARD_BYTES = 8 << 20
 
@@ -85,10 +87,12 @@ def repeated_prints(docs: DataFrame, unit: Unit, n: int) -> DataFrame:
     """
 
     def prints(batch: pa.RecordBatch) -> Iterator[exchange.Prints]:
-        ids, texts = common.column(batch, "doc_id").to_pylist(), common.utf8(batch, "text")
-        own = [(i, r) for i, r in zip(ids, _all_representatives(texts, unit), strict=True) if len(r)]
-        if own:
-            yield np.array([i for i, _ in own], np.int64), np.array([len(r) for _, r in own]), np.concatenate([r for _, r in own])
+        every, whole = common.column(batch, "doc_id").to_pylist(), common.utf8(batch, "text")
+        for a, b in common.steps([len(t) for t in whole], PACK_BYTES):
+            ids, texts = every[a:b], whole[a:b]
+            own = [(i, r) for i, r in zip(ids, _all_representatives(texts, unit), strict=True) if len(r)]
+            if own:
+                yield np.array([i for i, _ in own], np.int64), np.array([len(r) for _, r in own]), np.concatenate([r for _, r in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,32 +149,37 @@ def _pieces(texts_with_prints: DataFrame, unit: Unit, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple[int, bytes], tuple[int, list[int], int]] = {}
-            done: list[tuple[int, int, int]] = []
             ids, texts, found = common.column(batch, "doc_id").to_pylist(), common.utf8(batch, "text"), common.column(batch, "prints")
-            for row in np.argsort(np.array(ids, np.int64), kind="stable").tolist():  # the smallest document of equal pieces comes first
-                doc_id, text = ids[row], texts[row]
-                values, starts, ends = unit.cut(text)
-                low = representatives(values, unit)
-                if not len(low):
-                    continue
-                prints = np.unique(found[row].values.to_numpy(zero_copy_only=False)).astype(np.uint64)
-                key = low & exchange.LOW
-                at = np.minimum(np.searchsorted(prints, key), len(prints) - 1)
-                hit = prints[at] == key
-                # Maximal runs of windows with one representative.
-                edge = np.flatnonzero((low[1:] != low[:-1]) | (hit[1:] != hit[:-1])) + 1
-                first = np.concatenate([[0], edge])
-                last = np.concatenate([edge, [len(low)]]) - 1 + unit.window  # units, exclusive
-                keep = hit[first]
-                for a, b, mark in zip(first[keep].tolist(), last[keep].tolist(), key[first[keep]].tolist(), strict=True):
-                    piece = text[starts[a] : ends[b - 1]]
-                    known = best.setdefault((mark, piece), (doc_id, [], b - a))
-                    if known[0] == doc_id:
-                        known[1].append(a)
-                    else:
-                        done.append((doc_id, a, b))
-            yield _packed(best, done, shards)
+            order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()  # the smallest document of equal pieces comes first
+            for first_row, last_row in common.steps([len(texts[r]) for r in order], PACK_BYTES):
+                yield _packed(*cut(order[first_row:last_row], ids, texts, found), shards)
+
+    def cut(rows: list[int], ids: list[int], texts: list[bytes], found: pa.Array) -> tuple[dict, list]:
+        best: dict[tuple[int, bytes], tuple[int, list[int], int]] = {}
+        done: list[tuple[int, int, int]] = []
+        for row in rows:
+            doc_id, text = ids[row], texts[row]
+            values, starts, ends = unit.cut(text)
+            low = representatives(values, unit)
+            if not len(low):
+                continue
+            prints = np.unique(found[row].values.to_numpy(zero_copy_only=False)).astype(np.uint64)
+            key = low & exchange.LOW
+            at = np.minimum(np.searchsorted(prints, key), len(prints) - 1)
+            hit = prints[at] == key
+            # Maximal runs of windows with one representative.
+            edge = np.flatnonzero((low[1:] != low[:-1]) | (hit[1:] != hit[:-1])) + 1
+            first = np.concatenate([[0], edge])
+            last = np.concatenate([edge, [len(low)]]) - 1 + unit.window  # units, exclusive
+            keep = hit[first]
+            for a, b, mark in zip(first[keep].tolist(), last[keep].tolist(), key[first[keep]].tolist(), strict=True):
+                piece = text[starts[a] : ends[b - 1]]
+                known = best.setdefault((mark, piece), (doc_id, [], b - a))
+                if known[0] == doc_id:
+                    known[1].append(a)
+                else:
+                    done.append((doc_id, a, b))
+        return best, done
 
     return texts_with_prints.mapInArrow(run, PIECES)
 
