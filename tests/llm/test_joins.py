@@ -82,6 +82,19 @@ def test_jaccard(spark, awkward, empty, crowded, monkeypatch):
     check_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
+def test_jaccard_across_the_largest_sketched_band(spark):
+    """A crowded family on both sides of SKETCH_TOP, of which only middle sizes link the others."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(90_000)}" for _ in range(2404)]
+    rows = []
+    for n in [1600] + [2000] * 20 + [2400] * 20:
+        words = base[: n + 4]
+        words[50 * len(rows) % n] = f"x{len(rows)}"
+        rows.append((len(rows) + 1, " ".join(words)))
+    assert jaccard.band(2000) == jaccard.SKETCH_TOP < jaccard.band(2400) and len(rows) - 21 > jaccard.PAIRED
+    check_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+
+
 def test_signatures_miss_no_similar_sets():
     rng = np.random.default_rng(2)
     for _ in range(400):
