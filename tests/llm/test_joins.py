@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from visitprep.llm import embeddings, graph, jaccard, mixing, suffix_array, suffix_tree
+from visitprep.llm import embeddings, graph, jaccard, mixing, repeats, suffix_array, suffix_tree
 
 
 class Links:
@@ -156,6 +156,31 @@ def test_suffix_tree_dedup(spark, awkward, empty):
     assert suffix_tree.dedup(empty).count() == 0
 
 
+def check_edges(spark, module, operator, cut, join):
+    """A passage in different contexts: right results, and no shard gets a piece of every document."""
+    rng = random.Random(17)
+    say = lambda n: "".join(f"w{rng.randrange(9000)}{rng.choice([' ', '  '])}" for _ in range(n))
+    passage = say(90)
+    ends = [say(3) for _ in range(4)]  # some contexts are shared for a few words
+    frame = spark.createDataFrame([(i, say(40) + rng.choice(ends) + passage + rng.choice(ends) + say(40)) for i in range(120)], "doc_id long, text string").repartition(3)
+    check_repeats(frame, operator, cut, join, 50, 1000)
+
+    def index(pieces, least):
+        assert len(pieces) <= 15
+        return module.index(pieces, least)
+
+    repeats.repeated_spans(frame, module.UNIT, index).collect()
+
+
+@pytest.mark.parametrize("module", [suffix_array, suffix_tree])
+def test_passage_in_many_contexts(spark, module, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 10, raising=False)
+    if module is suffix_array:
+        check_edges(spark, module, module.dedup, str.encode, bytes)
+    else:
+        check_edges(spark, module, module.dedup, lambda t: t.encode().split(), b" ".join)
+
+
 @pytest.mark.parametrize(("direct", "limit"), [(1 << 20, 1 << 20), (2, 1 << 20), (2, 5)])
 def test_induced_sorting(direct, limit):
     """In memory, by recursion, and with the queues on disk."""

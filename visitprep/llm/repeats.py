@@ -12,13 +12,16 @@ size, so documents first agree, by fingerprints, on the few stretches that can r
 4. The spans found go back to their documents.
 
 Of equal fingerprints or pieces in one batch only those of the smallest document are sent on; the
-rest are known to repeat then and there.  So a passage in a third of all documents sends one row for
-each batch, not for each document.  Exact copies are set apart first, by their digest: every window
-of all but the smallest of them repeats.
+rest are known to repeat then and there.  So the inside of a passage in a third of all documents sends
+one row for each batch, not for each document.  At its edges the pieces reach into each document's own
+text and all differ; a fingerprint of more than ``HOT`` documents therefore makes no pieces: its
+windows are compared one by one, by their digests, in a plain aggregation that no key can fill.  Exact
+copies are set apart first, by their digest: every window of all but the smallest of them repeats.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,15 +36,21 @@ from . import common, exchange
 PACK_BYTES = 8 << 20
 #: Input bytes for each shard of pieces.
 SHARD_BYTES = 8 << 20
+#: Documents of one fingerprint whose pieces may meet in one shard.
+HOT = 4096
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a text is cut into: ``cut`` gives the values of the units, and where each starts and ends."""
+    """What a text is cut into: ``cut`` gives the values of the units, and where each starts and ends.
+
+    ``plain`` maps bytes with equal units to equal bytes.
+    """
 
     cut: Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
     window: int
     gram: int
+    plain: Callable[[bytes], bytes] = bytes
 
     @property
     def width(self) -> int:
@@ -184,6 +193,46 @@ def _pieces(texts_with_prints: DataFrame, unit: Unit, shards: int) -> DataFrame:
     return texts_with_prints.mapInArrow(run, PIECES)
 
 
+WINDOWS = "doc_id long, first long, last long, digest binary"
+
+
+def _hot_spans(texts_with_prints: DataFrame, unit: Unit) -> DataFrame:
+    """(doc_id, first, last) of windows under the given prints that also start in a smaller document.
+
+    Windows are equal if their digests of 128 bits are.  Of equal windows in one batch only those of
+    the smallest document are looked up; the others have no digest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, found = common.column(batch, "doc_id").to_pylist(), common.utf8(batch, "text"), common.column(batch, "prints")
+            order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
+            for first_row, last_row in common.steps([len(texts[r]) for r in order], PACK_BYTES):
+                seen: dict[bytes, int] = {}
+                out: list[list] = []
+                for row in order[first_row:last_row]:
+                    doc_id, text = ids[row], texts[row]
+                    values, starts, ends = unit.cut(text)
+                    hit = np.isin(representatives(values, unit) & exchange.LOW, found[row].values.to_numpy(zero_copy_only=False).astype(np.uint64))
+                    open_span = None
+                    for a in np.flatnonzero(hit).tolist():
+                        digest = hashlib.blake2b(unit.plain(text[starts[a] : ends[a + unit.window - 1]]), digest_size=16).digest()
+                        if seen.setdefault(digest, doc_id) == doc_id:
+                            out.append([doc_id, a, a + unit.window, digest])
+                        elif open_span and a <= open_span[2]:
+                            open_span[2] = a + unit.window
+                        else:
+                            open_span = [doc_id, a, a + unit.window, None]
+                            out.append(open_span)
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["doc_id", "first", "last", "digest"])
+
+    windows = common.written(texts_with_prints.mapInArrow(run, WINDOWS), "windows")
+    open_ones = windows.filter("digest is not null")
+    low = open_ones.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
+    return windows.filter("digest is null").drop("digest").union(open_ones.join(low, "digest").filter("doc_id > low").select("doc_id", "first", "last"))
+
+
 def _packed(best: dict, done: list, shards: int) -> pa.RecordBatch:
     """One row for each shard: its pieces, and the spans that need no shard, spread by document."""
     rows: dict[int, tuple[list, list]] = {}
@@ -267,10 +316,14 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Index) -> DataFrame:
 
     fresh = texts.join(copies, "doc_id", "left_anti")
     # The number of buckets follows the scan: sizes that Catalyst gives joined frames mean nothing.
-    prints = repeated_prints(fresh, unit, exchange.buckets(docs))
-    listed = prints.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
+    prints = common.written(repeated_prints(fresh, unit, exchange.buckets(docs)), "prints")
+    hot = common.written(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("print"), "hot")
+    some_hot = not hot.isEmpty()
+    listed = lambda found: found.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
     # Texts are shuffled once: this join and the last one read the same exchange.
-    packed = _pieces(texts.join(listed, "doc_id"), unit, shards)
+    packed = _pieces(texts.join(listed(prints.join(hot, "print", "left_anti") if some_hot else prints), "doc_id"), unit, shards)
     spans = packed.groupBy("shard").applyInArrow(merge, "doc_id long, first long, last long")
+    if some_hot:
+        spans = spans.union(_hot_spans(texts.join(listed(prints.join(hot, "print", "left_semi")), "doc_id"), unit))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return texts.join(by_doc, "doc_id", "left").join(copies, "doc_id", "left")

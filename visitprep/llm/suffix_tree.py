@@ -124,7 +124,7 @@ def index(pieces: list[bytes], least: np.ndarray, *, window: int = WINDOW, limit
     return list(zip(piece.tolist(), (first - starts[piece]).tolist(), (last - starts[piece]).tolist(), strict=True))
 
 
-UNIT = repeats.Unit(repeats.cut_words, WINDOW, GRAM)
+UNIT = repeats.Unit(repeats.cut_words, WINDOW, GRAM, lambda piece: b" ".join(piece.split()))
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
