@@ -69,6 +69,25 @@ def test_gradients_of_the_tagger():
         assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-2 * max(1, abs(grads[name][at]))
 
 
+def test_long_names_at_window_edges():
+    """A name whose head stands in a window without a digit or at sign is redacted whole."""
+
+    class Exact:
+        def decode(self, x):
+            tags = np.zeros(x.shape, np.int8)
+            for row, out in zip(x, tags, strict=True):
+                if m := re.search(r"[a-z]+ @ host\.com", "".join(chr(c + 30) for c in row)):
+                    out[m.start() : m.end()] = 2
+                    out[m.start()] = 1
+            return tags
+
+    for k in range(64):
+        lead = "Z " * 40 + "Z" * k + " "
+        text = f"{lead}{'abcdefghij' * 3} @ host.com end"
+        (base, spans), = pii.find(Exact(), [text])
+        assert not base and pii.redacted(text, spans) == f"{lead}[EMAIL] end"
+
+
 def test_pii_columns(awkward, empty):
     rows = pii.scan(awkward).collect()
     assert len(rows) == awkward.count() and all(r.n_email == 0 for r in rows)

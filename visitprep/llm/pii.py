@@ -4,7 +4,8 @@ The patterns give the base spans.  The tagger reads overlapping windows of chara
 backwards; a CRF scores the tag sequence of each window and Viterbi decodes it.  Windows are
 reconciled over the whole text: each character takes its tag from the window in whose middle it
 stands, and spans are read off the joined sequence.  Every span of the tagger's kinds holds a digit or
-an at sign, so a window without either cannot contribute and is not decoded.  The tagger is trained in
+an at sign, so a window without either is not decoded; the name of an e-mail that starts in such a window
+is taken whole from the span's start leftwards.  The tagger is trained in
 numpy from labelled spans, which a seeded generator writes in many formats, near misses included.
 """
 
@@ -325,7 +326,14 @@ def find(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]
     out = []
     for i, text in enumerate(texts):
         base = base_spans(text)
-        added = [s for s in extra.get(i, []) if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
+        added: list[Span] = []
+        for a, b, kind in extra.get(i, []):
+            if all(b <= s[0] or a >= s[1] for s in base):
+                # The head of a long name may stand in a window that is not decoded.
+                floor = max([s[1] for s in base + added if s[1] <= a], default=0)
+                while kind == "email" and a > floor and text[a - 1] in _LOCAL:
+                    a -= 1
+                added.append((a, b, kind))
         out.append((base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))))
     return out
 
