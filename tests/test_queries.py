@@ -53,3 +53,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())
+
+
+def test_inpatient_pull_is_whole(spark):
+    want = spark.read.parquet(f"{TABLES}/lineitem.parquet").filter("l_returnflag in ('R', 'A')").count()
+    assert registry._pulls(spark, TABLES)[1].count() == want
