@@ -67,12 +67,13 @@ def test_jaccard(spark, awkward, empty, crowded, monkeypatch):
     if crowded:  # every group as if it were a large one, families and groups in many blocks
         monkeypatch.setattr(jaccard, "PAIRED", 1)
         monkeypatch.setattr(jaccard, "BLOCK", 3)
+        monkeypatch.setattr(jaccard, "COUNTED", 9)
     check_jaccard(awkward)
     assert jaccard.components(empty).count() == 0
     rng = random.Random(8)
     rows = []
-    for family in range(12):
-        base = [f"w{rng.randrange(50 if family % 2 else 5000)}" for _ in range(rng.choice([3, 8, 30, 63, 64, 120, 260]))]
+    for family in range(16):
+        base = [f"w{rng.randrange(50 if family % 2 else 5000)}" for _ in range(rng.choice([3, 8, 12, 19, 30, 63, 64, 120, 260]))]
         for _ in range(8):
             words = base[:]
             for _ in range(rng.randrange(max(1, len(words) // 25) + 1)):
@@ -82,8 +83,11 @@ def test_jaccard(spark, awkward, empty, crowded, monkeypatch):
     check_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
-def test_jaccard_across_the_largest_sketched_band(spark):
-    """A crowded family on both sides of SKETCH_TOP, of which only middle sizes link the others."""
+def test_jaccard_of_a_crowded_family_in_two_bands(spark, monkeypatch):
+    """Of a family on both sides of a band's end only middle sizes link the others."""
+    monkeypatch.setattr(jaccard, "PAIRED", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "COUNTED", 8)
     rng = random.Random(21)
     base = [f"w{rng.randrange(90_000)}" for _ in range(2404)]
     rows = []
@@ -91,23 +95,45 @@ def test_jaccard_across_the_largest_sketched_band(spark):
         words = base[: n + 4]
         words[50 * len(rows) % n] = f"x{len(rows)}"
         rows.append((len(rows) + 1, " ".join(words)))
-    assert jaccard.band(2000) == jaccard.SKETCH_TOP < jaccard.band(2400) and len(rows) - 21 > jaccard.PAIRED
+    assert jaccard.band(2000) < jaccard.band(2400) and len(rows) - 21 > jaccard.PAIRED
     check_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
+def test_jaccard_looks_up_lacking_sets(spark, monkeypatch):
+    """With every set as a lacking one, and no signatures, all links are found by single shingles."""
+    monkeypatch.setattr(jaccard, "_reduce", lambda table, paired, of=jaccard._reduce: of(table, paired).set_column(7, "lacking", [[True] * of(table, paired).num_rows]))
+    monkeypatch.setattr(jaccard, "signatures", lambda sets: (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(sets), np.int64)))
+    rng = random.Random(5)
+    rows = []
+    for _ in range(10):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([8, 11, 30, 90]))]
+        rows += [(len(rows) + i, " ".join([*base[: len(base) - i], "end" * (i % 2)])) for i in range(5)]
+    check_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_words_of_regular_structure_do_not_collide(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    check_jaccard(spark.createDataFrame([(1, one), (2, other), (3, " ".join(one)), (4, " ".join(other)), (5, f"a b {one}"), (6, f"b a {one}")], "doc_id long, text string"))
+
+
 def test_signatures_miss_no_similar_sets():
     rng = np.random.default_rng(2)
-    for _ in range(400):
-        n = int(rng.choice([1, 2, 5, 20, 47, 48, 63, 64, 90, 127, 128, 200, 600]))
+    for _ in range(600):
+        n = int(rng.choice([1, 2, 3, 4, 5, 7, 8, 15, 16, 20, 47, 48, 63, 64, 90, 127, 128, 200, 600]))
         a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
         # As far apart as similarity of 3/4 allows: some replaced, or some left out.
         swap = int(rng.integers(0, n // 7 + 1))
         b = np.concatenate([a[swap:], rng.integers(0, 1 << 63, swap).astype(np.uint64)]) if rng.random() < 0.5 else a[: max(1, -(-3 * n // 4))]
         a, b = np.unique(a), np.unique(b)
-        if jaccard.similar(a, b):
-            larger = max(a, b, key=len)
-            lacking = len(larger) >= jaccard.SMALL and jaccard.filled(larger) <= 2 * len(larger) // 7
-            assert lacking or set(np.concatenate(jaccard.signatures(a)).tolist()) & set(np.concatenate(jaccard.signatures(b)).tolist())
+        if jaccard.similar(a, b) and not np.array_equal(a, b):  # equal sets meet by their keys
+            sigs, of, good = jaccard.signatures([a, b])
+            sizes = np.array([len(a), len(b)])
+            both = len(np.intersect1d(sigs[of == 0], sigs[of == 1]))
+            large = int(len(b) > len(a))
+            k = int(sizes.sum()) // 7
+            least = 1 if sizes[large] < 16 else good[large] - k if sizes[large] < 64 else 3 * good[large] - 2 * k if k <= good[large] else 2 * good[large] - k
+            assert jaccard.lacking(sizes, good)[large] or both >= max(1, least)
 
 
 def check_repeats(frame, operator, cut, join, window, removed):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -93,6 +95,30 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_MASKS = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at ``starts`` to ``ends``, eight bytes at a step.
+
+    Every step is a bijection of the state mixed with the bytes, not a polynomial, so texts of a regular
+    structure do not collide.  Words beyond 64 bytes are hashed by a digest.
+    """
+    sizes = ends - starts
+    flat = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
+    with np.errstate(over="ignore"):
+        out = mix((flat[starts] & _MASKS[np.minimum(sizes, 8)]) ^ mix(sizes.astype(np.uint64) + _BASE))
+        at = np.flatnonzero((sizes > 8) & (sizes <= 64))
+        step = 8
+        while len(at):
+            out[at] = mix(out[at] * _BASE ^ (flat[starts[at] + step] & _MASKS[np.minimum(sizes[at] - step, 8)]))
+            step += 8
+            at = at[sizes[at] > step]
+    for i in np.flatnonzero(sizes > 64).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows with at most ``limit`` bytes each, one row at least."""
     first, total = 0, 0
@@ -121,21 +147,61 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one is set only where none is (as in tests)."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    One is set only where none is and the master is local, as in tests: on a cluster a folder that only
+    one machine sees would lose tables.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "/tmp/checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def table_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written within, unless kept, are removed at the end."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append((df.sparkSession, path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table's files, in whatever store they are."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for df in frames:
+        delete(df.sparkSession, df.table_path)
 
 
 def release(spark: SparkSession) -> None:

@@ -68,16 +68,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.written(contracted(edges.filter("a <> b")), "edges")
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
+        lowest = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
         # Large star: larger neighbours move to the smallest one.
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        large = both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         large = common.written(large, "large")
         # Small star: a node and its smaller neighbours move to the smallest of them.
         low = common.written(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")), "low")
         more = large.join(low.filter("n > 1"), "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         after = common.written(low.select("a", F.col("low").alias("b")).union(more).distinct(), "edges")
         # Stars only: no node is both a leaf and a root, and no leaf has two roots.
-        if low.filter("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            break
+        done = low.filter("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+        common.discard(edges, lowest, large, low)
         edges = after
+        if done:
+            break
     return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
