@@ -243,3 +243,12 @@ def test_quality_columns(spark, awkward, empty):
     assert len(rows) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
     assert quality.score(empty, model).count() == 0
+
+
+def test_numbers_of_thousands_of_digits(spark):
+    zeros = "0" * 5000
+    texts = [f"{zeros}1.1.1.1 x", f"1.{zeros}.3.{zeros}9", f"{zeros}256.1.1.1", f"+{zeros} 12", f"card {zeros}", f"a {'9' * 6000}.1.1.1"]
+    assert [[k for _, _, k in pii.base_spans(t)] for t in texts] == [["ip"], ["ip"], [], [], [], []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.n_ip for r in pii.scan(docs).collect()) == [0, 0, 0, 0, 1, 1]
+    assert pii.redact(docs, keep=["doc_id", "text"]).count() == len(texts)

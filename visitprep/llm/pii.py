@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns by start, then kind; leftmost and non-overlapping in each kind."""
     found = list(_emails(text)) if "@" in text else []
     if _DIGIT.search(text):
-        found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p) <= 3 and int(p) <= 255 for p in (q.lstrip("0") or "0" for q in m[0].split(".")))]
         found += [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
         found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
