@@ -1,9 +1,9 @@
 """Quality classifier on supervised subword embeddings.
 
-Every white-space token contributes a vector of its own and one for each of its character n-grams,
-all learned and found by hash.  A token that repeats the one before it adds a word bigram, written as
-a back reference, so that all such bigrams share one learned vector.  A document is the average of
-these vectors, and a softmax over the average gives the class.  Training is stochastic gradient
+Every white-space token contributes a vector of its own and one for each of its character n-grams, and
+every pair of neighbouring tokens one for the word bigram, all learned and found by hash.  A token that
+repeats the one before it adds a back reference, one vector for all such pairs.  A document is the
+average of these vectors, and a softmax over the average gives the class.  Training is stochastic gradient
 descent in numpy on a bounded, documented sample of labelled rows.  The average is linear, so scoring adds up, for each token, a sum of class
 scores and a number of features that a worker computes once for each distinct token.
 """
@@ -24,10 +24,10 @@ from . import common
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (1, 2, 3, 4)
 EPOCHS, RATE, SEED = 4, 2.0, 7
-#: The bucket of the back-reference bigram, beside the hashed ones.
+#: Buckets of tokens and their n-grams come first, then the back reference, then word bigrams.
 REPEAT = BUCKETS
-#: Most labelled rows that training uses, and most characters of them: the sample's bound.
-TRAINING_ROWS, TRAINING_CHARS = 2000, 8_000_000
+#: Most labelled rows that training uses: the sample's bound.
+TRAINING_ROWS = 2000
 #: A document is accepted from this score on.
 THRESHOLD = 0.3
 #: Tokens a worker keeps; further ones are computed anew in each step.
@@ -64,6 +64,19 @@ def features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(owners, minlength=len(tokens))
 
 
+def token_hashes(tokens: list[bytes]) -> np.ndarray:
+    data = b" ".join(tokens)
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    return common.word_hashes(data, starts, starts + sizes)
+
+
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbours in a sequence of token hashes."""
+    with np.errstate(over="ignore"):
+        return (common.mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C55) + hashes[1:]) % np.uint64(BUCKETS)).astype(np.int64) + REPEAT + 1
+
+
 @dataclass
 class Model:
     vectors: np.ndarray  # buckets x dim
@@ -83,28 +96,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_RO
     """
     ids = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = ids.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # repeated ids count once
 
 
-def train(sample: DataFrame, *, rows: int = TRAINING_ROWS, chars: int = TRAINING_CHARS) -> Model:
-    """Fit on the driver from at most ``rows`` rows and ``chars`` characters (``text``, ``quality``)."""
-    got = sorted(sample.limit(2 * rows).collect(), key=lambda r: zlib.crc32(str(r.doc_id).encode()))
-    docs, total = [], 0
-    for r in got:
-        total += len(r.text)
-        if total > chars and docs:
-            break
-        docs.append((r.text.encode().split(), int(r.quality)))
-    return fit(docs)
+def train(sample: DataFrame, *, rows: int = TRAINING_ROWS) -> Model:
+    """Fit on the driver from at most ``rows`` rows (``doc_id``, ``text``, ``quality``), those of smallest hashes."""
+    got = sample.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows).collect()
+    got.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
+    return fit([(r.text.encode().split(), int(r.quality)) for r in got])
 
 
 def fit(docs: list[tuple[list[bytes], int]]) -> Model:
     """Stochastic gradient descent over documents (tokens, class)."""
     rng = np.random.default_rng(SEED)
-    vectors = (rng.random((BUCKETS + 1, DIM)) - 0.5).astype(np.float32) / DIM
+    vectors = (rng.random((2 * BUCKETS + 1, DIM)) - 0.5).astype(np.float32) / DIM
     output, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     distinct = sorted({t for tokens, _ in docs for t in tokens})
     number = {t: i for i, t in enumerate(distinct)}
+    hashes = token_hashes(distinct)
     parts = [features(distinct[i : i + STEP_TOKENS]) for i in range(0, len(distinct), STEP_TOKENS)]
     ids = np.concatenate([np.zeros(0, np.int32), *[p.astype(np.int32) for p, _ in parts]])
     sizes = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
@@ -119,6 +129,8 @@ def fit(docs: list[tuple[list[bytes], int]]) -> Model:
             weight = np.bincount(inverse, np.repeat(times, sizes[own])).astype(np.float32)
             if repeats := int((at[1:] == at[:-1]).sum()):
                 bucket, weight = np.append(bucket, np.int32(REPEAT)), np.append(weight, np.float32(repeats))
+            pairs, times = np.unique(bigrams(hashes[at]), return_counts=True)
+            bucket, weight = np.append(bucket, pairs.astype(np.int32)), np.append(weight, times.astype(np.float32))
             prepared.append((bucket, weight / weight.sum(), label))
     steps, done = max(1, EPOCHS * len(prepared)), 0
     for _ in range(EPOCHS):
@@ -145,28 +157,33 @@ class Scorer:
     def __init__(self, weights: np.ndarray, prior: float):
         self.weights, self.prior = weights, prior
         self.known: dict[bytes, int] = {}
-        self.sums, self.counts = np.zeros(0), np.zeros(0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = {}
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
-    def _learn(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, sizes = features(tokens)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return np.add.reduceat(self.weights[ids], ends[:-1]), sizes.astype(np.float64)
+        return np.add.reduceat(self.weights[ids], ends[:-1]), sizes.astype(np.float64), token_hashes(tokens)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         docs = [t.split() for t in texts]
         new = list({t for tokens in docs for t in tokens if t not in self.known})
         if new and len(self.known) + len(new) > CACHE_TOKENS:
-            self.known, self.sums, self.counts = {}, np.zeros(0), np.zeros(0)
+            self._forget()
             new = list({t for tokens in docs for t in tokens})
         if new:
-            sums, counts = zip(*(self._learn(new[i : i + STEP_TOKENS]) for i in range(0, len(new), STEP_TOKENS)), strict=True)
+            sums, counts, hashes = zip(*(self._learn(new[i : i + STEP_TOKENS]) for i in range(0, len(new), STEP_TOKENS)), strict=True)
             self.known.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
-            self.sums, self.counts = np.concatenate([self.sums, *sums]), np.concatenate([self.counts, *counts])
+            self.sums, self.counts, self.hashes = np.concatenate([self.sums, *sums]), np.concatenate([self.counts, *counts]), np.concatenate([self.hashes, *hashes])
         out, known = np.zeros(len(docs)), self.known
         for i, tokens in enumerate(docs):
             at = np.array([known[t] for t in tokens], np.int64)
             repeats = np.count_nonzero(at[1:] == at[:-1])
-            out[i] = (self.sums[at].sum() + repeats * self.weights[REPEAT]) / max(1.0, self.counts[at].sum() + repeats)
+            pairs = self.weights[bigrams(self.hashes[at])]
+            out[i] = (self.sums[at].sum() + repeats * self.weights[REPEAT] + pairs.sum()) / max(1.0, self.counts[at].sum() + repeats + len(pairs))
         return 1 / (1 + np.exp(-(out + self.prior)))
 
 
