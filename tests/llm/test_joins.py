@@ -67,6 +67,7 @@ def test_jaccard(spark, awkward, empty, crowded, monkeypatch):
     if crowded:  # every group as if it were a large one, families and groups in many blocks
         monkeypatch.setattr(jaccard, "PAIRED", 1)
         monkeypatch.setattr(jaccard, "BLOCK", 3)
+        monkeypatch.setattr(jaccard, "SHARED", 3)
         monkeypatch.setattr(jaccard, "COUNTED", 9)
     check_jaccard(awkward)
     assert jaccard.components(empty).count() == 0
@@ -87,6 +88,7 @@ def test_jaccard_of_a_crowded_family_in_two_bands(spark, monkeypatch):
     """Of a family on both sides of a band's end only middle sizes link the others."""
     monkeypatch.setattr(jaccard, "PAIRED", 8)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SHARED", 4)
     monkeypatch.setattr(jaccard, "COUNTED", 8)
     rng = random.Random(21)
     base = [f"w{rng.randrange(90_000)}" for _ in range(2404)]
