@@ -6,13 +6,16 @@ import contextlib
 import gc
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # Sub-batches are cut at this many bytes of text, so that the numpy temporaries of one step stay
 # bounded whatever the number of rows in an Arrow batch.  A longer text is a sub-batch of its own.
 STEP_BYTES = 1 << 20
@@ -167,6 +170,17 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+_HELD: dict[str, object] = {}
+
+
+def hold(name: str, make: Callable[[], T]) -> T:
+    """A model that a worker keeps between tasks; one at a time, so that stages do not add up in memory."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 _SCRATCH: list[list[tuple[SparkSession, str]]] = []
 
 

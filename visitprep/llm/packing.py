@@ -120,13 +120,8 @@ class WordEncoder:
         return text.isascii() or not self._RISKY.search(text)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return common.hold(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def default_tokenizer() -> str:

@@ -31,7 +31,7 @@ TRAINING_ROWS = 2000
 #: A document is accepted from this score on.
 THRESHOLD = 0.3
 #: Tokens a worker keeps; further ones are computed anew in each step.
-CACHE_TOKENS = 600_000
+CACHE_TOKENS = 300_000
 #: Tokens whose features are computed at a time.
 STEP_TOKENS = 20_000
 
@@ -187,9 +187,6 @@ class Scorer:
         return 1 / (1 + np.exp(-(out + self.prior)))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Score and decision for every document; the columns of ``keep`` (default: the id) come along.
 
@@ -205,10 +202,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", held_out boolean, score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if version not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[version] = Scorer(shared.value, prior)
-        scorer = _SCORERS[version]
+        scorer = common.hold(f"scorer {version}", lambda: Scorer(shared.value, prior))
         for batch in batches:
             texts = common.utf8(batch, "__text")
             ids = [zlib.crc32(str(x).encode()) % 5 == 0 if x is not None else None for x in common.column(batch, id_col).to_pylist()]
