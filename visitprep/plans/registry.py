@@ -264,8 +264,10 @@ def _linked(fields: dict[str, str]) -> Query:
 query("link_collapsed_two_pull", _collapsed(_FIELDS))(_linked(MERGE))
 for _short, _field, _strategy in (("union", "ccdd_category_flat", "union_delimited"), ("ccdd", "ccdd", "union_ccdd"), ("yes", "c_death", "prefer_yes"), ("admission", "discharge_disposition", "prefer_admission")):
     query(f"merge_{_short}", _collapsed({_field: _FIELDS[_field]}))(_linked({_field: _strategy}))
-# A fold that looks for each value in the text so far has no plain SQL form; tests cover it.
-query("merge_concat")(_linked({"discharge_disposition": "concat"}))
+_some = "list_filter(discharge_disposition_all, lambda x: x is not null and x <> '')"
+_base = f"case when discharge_disposition <> '' then discharge_disposition else {_some}[1] end"
+_concat = f"case when len({_some}) = 0 then discharge_disposition else list_reduce(list_prepend({_base}, {_some}), lambda t, v: case when contains(t, v) then t else concat(t, '; ', v) end) end"
+query("merge_concat", _collapsed({"discharge_disposition": _concat}))(_linked({"discharge_disposition": "concat"}))
 
 # ---- expressions -------------------------------------------------------------------------------
 
