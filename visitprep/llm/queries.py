@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import table
 
 
@@ -82,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those whose results do not depend on a fitted model, a tokenizer or an order of taking."""
+    return sql.oracle_sql()
