@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import hashlib
 import uuid
@@ -223,3 +224,11 @@ def release(spark: SparkSession) -> None:
     collected the plans that refer to them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give freed memory of this process back to the system, where its C library can."""
+    gc.collect()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)

@@ -11,7 +11,7 @@ scores and a number of features that a worker computes once for each distinct to
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,27 +102,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_RO
 
 def train(sample: DataFrame, *, rows: int = TRAINING_ROWS) -> Model:
     """Fit on the driver from at most ``rows`` rows (``doc_id``, ``text``, ``quality``), those of smallest hashes."""
-    got = sample.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows).collect()
-    got.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
-    return fit([(r.text.encode().split(), int(r.quality)) for r in got])
+    got = sample.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows).select("doc_id", "text", "quality").toArrow()
+    ids, labels, texts = (got.column(c) for c in ("doc_id", "quality", "text"))
+    order = sorted(range(got.num_rows), key=lambda i: zlib.crc32(str(ids[i]).encode()))
+    model = fit((texts[i].as_py().encode().split(), int(labels[i].as_py())) for i in order)
+    del got, ids, labels, texts
+    common.trim()
+    return model
 
 
-def fit(docs: list[tuple[list[bytes], int]]) -> Model:
-    """Stochastic gradient descent over documents (tokens, class)."""
+def fit(docs: Iterable[tuple[list[bytes], int]]) -> Model:
+    """Stochastic gradient descent over documents (tokens, class), which are kept as numbers of tokens."""
     rng = np.random.default_rng(SEED)
     vectors = (rng.random((2 * BUCKETS + 1, DIM)) - 0.5).astype(np.float32) / DIM
     output, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    distinct = sorted({t for tokens, _ in docs for t in tokens})
-    number = {t: i for i, t in enumerate(distinct)}
+    number: dict[bytes, int] = {}
+    numbered = [(np.array([number.setdefault(t, len(number)) for t in tokens], np.int32), label) for tokens, label in docs]
+    distinct = list(number)
+    number.clear()
     hashes = token_hashes(distinct)
     parts = [features(distinct[i : i + STEP_TOKENS]) for i in range(0, len(distinct), STEP_TOKENS)]
     ids = np.concatenate([np.zeros(0, np.int32), *[p.astype(np.int32) for p, _ in parts]])
     sizes = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
     ends = np.cumsum(sizes)
     prepared = []
-    for tokens, label in docs:
-        if tokens:
-            at = np.array([number[t] for t in tokens])
+    for at, label in numbered:
+        if len(at):
             own, times = np.unique(at, return_counts=True)
             flat = np.concatenate([ids[ends[i] - sizes[i] : ends[i]] for i in own])
             bucket, inverse = np.unique(flat, return_inverse=True)
