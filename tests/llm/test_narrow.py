@@ -135,6 +135,23 @@ def test_pack(awkward, empty):
         assert zlib.crc32(ids) == r.ids_crc32 and r.start == r.piece * 512
 
 
+def test_pack_many_partitions(spark):
+    """Sequences of many small tasks are joined to nearly as few as the tokens need."""
+    rng = random.Random(8)
+    frame = spark.createDataFrame([(i, "word " * rng.randint(1, 150)) for i in range(600)], "doc_id long, text string")
+    rows = packing.pack(frame.repartition(48), capacity=512).collect()
+    assert len(rows) == 600
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= 512
+    least = -(-sum(r.length for r in rows) // 512)
+    assert len(places) <= 1.05 * least + 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 5000])
 def test_media_round_trip(n, monkeypatch):
     payload = media.pad(os.urandom(n))

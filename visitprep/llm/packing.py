@@ -4,6 +4,9 @@ Bounded-space online best fit.  A packing task keeps at most ``open_bins`` seque
 free space; a bitset over the free-space values finds the tightest fit in a few integer operations.
 When the number of open sequences would pass the bound, the fullest one closes first.  Tokenising and
 packing happen in the scan tasks, so no text is shuffled and a lost task is simply run again.
+
+Every task ends with part-filled sequences.  In a second step sequences are items themselves: dealt by
+hash into groups of a bounded number, the largest first, best fit joins them.  Only numbers travel.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from . import common
 
 CAPACITY = 4096
 OPEN_BINS = 2048
+#: Sequences that one task of the second step joins, about.
+JOINED = 1 << 16
 #: Added after every document.
 SEPARATOR_ID = 1
 #: Entries of the caches of one Python worker; when they are full, further words are encoded anew.
@@ -130,6 +135,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _joining(capacity: int, open_bins: int):
+    def join(table: pa.Table) -> pa.Table:
+        """Sequences that go behind another one, with their new place."""
+        ids, used = table.column("sequence_id").to_numpy(), table.column("used").to_numpy()
+        order = np.lexsort((ids, -used))
+        bins, first, out = BestFit(capacity, open_bins), {}, ([], [], [])
+        for one, size in zip(ids[order].tolist(), used[order].tolist(), strict=True):
+            at, base = bins.place(size)
+            if base:
+                for to, value in zip(out, (one, first[at], base), strict=True):
+                    to.append(value)
+            else:
+                first[at] = one
+        return pa.table([pa.array(x, pa.int64()) for x in out], names=["old_id", "new_id", "base"])
+
+    return join
+
+
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Places of every document's pieces.
 
@@ -137,6 +160,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     ``capacity`` are cut, into pieces of ``capacity`` ids.  Null and empty texts have the single id 1;
     null ids of documents and repeated rows are packed like any other row; an empty table gives no
     rows; further columns are ignored.  Equal sizes go to the most recently used of the tightest bins.
+    Places of the first step are written to the shared folder, so the second sees one packing even when
+    a task is run again.
     """
     path = tokenizer_path or default_tokenizer()
 
@@ -157,4 +182,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    placed = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA), "placed")
+    used = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < capacity)
+    groups = used.count() // JOINED + 1
+    moved = used.groupBy(F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).alias("part")).applyInArrow(_joining(capacity, open_bins), "old_id long, new_id long, base long")
+    joined = placed.join(moved, F.col("sequence_id") == F.col("old_id"), "left")
+    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("new_id", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
