@@ -7,7 +7,8 @@ budget is spent serves all sources in proportion to their targets.
 Running sums are never computed over a whole source in one task.  A source is cut into hash buckets;
 the small table of bucket sums gets prefix sums, and only the rows of one bucket are ordered together.
 The global range sort works likewise: virtual time is cut into ranges, whole ranges are taken or left
-by the prefix sums of their totals, and only the one range that holds the budget's end is ordered.
+by the prefix sums of their totals; the one range that holds the budget's end is cut into as many
+parts again, and only the part that holds it is ordered.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Words as the contract counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 SHARE = 1.5
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 2
 SEED = 20240229
-#: Ranges that virtual time is cut into.
+#: Ranges that virtual time is cut into, and parts of the range that holds the budget's end.
 RANGES = 4096
 
 
@@ -79,30 +82,38 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     # "place" orders documents by its own bits beyond the bucket; any fixed order of buckets will do.
     # Sources are keyed by two columns without nulls, so that windows and joins share one partitioning.
     key = ["no_src", "key"]
-    per_bucket = rows.groupBy(*key, "bucket").agg(F.first("src").alias("src"), F.sum("size").alias("bucket_size"))
+    # Words are counted once for all sums, and once more when the rows themselves are returned.
+    counted = common.written(rows.drop("row"), "sizes")
+    per_bucket = counted.groupBy(*key, "bucket").agg(F.first("src").alias("src"), F.sum("size").alias("bucket_size"))
     sizes = per_bucket.groupBy(*key).agg(F.first("src").alias("src"), F.sum("bucket_size").alias("source_size"))
     goal = targets(sizes, share=share, weights=weights, max_repeats=max_repeats)
     before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size")
     plan = starts.drop("src").join(goal.drop("src"), key)
     own = Window.partitionBy(*key, "bucket").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("within", F.sum("size").over(own))
-    placed = (
-        summed.join(plan, [*key, "bucket"])
-        .select("row", "size", "place", "tie", "source_size", "budget", "target", (F.col("before") + F.col("within")).alias("upto"))
-        .withColumn("finish", F.when(F.col("target") > 0, F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: (F.col("upto") + e * F.col("source_size")) / F.col("target"))).otherwise(F.array().cast("array<double>")))
-    )
-    spot = lambda f: F.least(F.floor(f * (RANGES / 2)), F.lit(4 * RANGES * max_repeats)).cast("long")
-    copies = placed.select(F.explode("finish").alias("finish"), "size", "place", "tie", "budget").withColumn("range", spot(F.col("finish")))
-    totals = copies.groupBy("range").agg(F.sum("size").alias("range_size"), F.max("budget").alias("budget"))
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    # The range in which the budget ends: whole ranges before it are taken.
-    edge = (
-        totals.withColumn("total", F.sum("range_size").over(upto))
-        .filter(F.col("total") > F.col("budget"))
-        .agg(F.min_by(F.struct("range", (F.col("total") - F.col("range_size")).alias("spent"), "budget"), "range").alias("edge"))
-    )
-    inside = copies.join(F.broadcast(edge), F.col("range") == F.col("edge.range")).withColumn("spent", F.col("edge.spent") + F.sum("size").over(Window.orderBy("finish", "place", "tie").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def placed(given: DataFrame) -> DataFrame:
+        """Rows with the virtual finish times of their copies."""
+        finish = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: (F.col("upto") + e * F.col("source_size")) / F.col("target"))
+        summed = given.withColumn("within", F.sum("size").over(own)).join(plan, [*key, "bucket"])
+        return summed.withColumn("upto", F.col("before") + F.col("within")).withColumn("finish", F.when(F.col("target") > 0, finish).otherwise(F.array().cast("array<double>")))
+
+    spot = lambda f: F.least(F.floor(f * (RANGES / 2 * RANGES)), F.lit(4 * RANGES * max_repeats * RANGES)).cast("long")
+    whole = lambda part: F.floor(part / RANGES).cast("long")
+
+    def end(totals: DataFrame, start: Column, goal_words: Column) -> DataFrame:
+        """The first ``range`` whose words pass the budget, and the words before it: one row, null if none."""
+        upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+        summed = totals.withColumn("total", start + F.sum("range_size").over(upto)).filter(F.col("total") > goal_words)
+        return summed.agg(F.min_by(F.struct("range", (F.col("total") - F.col("range_size")).alias("spent"), "budget"), "range").alias("edge"))
+
+    copies = placed(counted).select(F.explode("finish").alias("finish"), "size", "place", "tie", "budget").withColumn("part", spot(F.col("finish")))
+    totals = copies.groupBy(whole(F.col("part")).alias("range")).agg(F.sum("size").alias("range_size"), F.max("budget").alias("budget"))
+    coarse = end(totals, F.lit(0), F.col("budget")).select(F.col("edge").alias("coarse"))
+    near = copies.drop("budget").join(F.broadcast(coarse), whole(F.col("part")) == F.col("coarse.range"))
+    parts = near.groupBy(F.col("part").alias("range")).agg(F.sum("size").alias("range_size"), F.max("coarse.spent").alias("spent"), F.max("coarse.budget").alias("budget"))
+    edge = end(parts, F.col("spent"), F.col("budget"))
+    inside = near.join(F.broadcast(edge), F.col("part") == F.col("edge.range")).withColumn("spent", F.col("edge.spent") + F.sum("size").over(Window.orderBy("finish", "place", "tie").rowsBetween(Window.unboundedPreceding, 0)))
     cut = inside.filter(F.col("spent") <= F.col("edge.budget")).agg(F.max(F.struct("finish", "place", "tie")).alias("last"))
     ends = edge.crossJoin(cut)  # one row each
 
@@ -114,7 +125,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         )
 
     return (
-        placed.crossJoin(F.broadcast(ends))
+        placed(rows).crossJoin(F.broadcast(ends))
         .withColumn("copies", F.size(F.filter("finish", takes)))
         .select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
     )
