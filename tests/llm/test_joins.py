@@ -247,6 +247,16 @@ def test_tree_nodes():
     assert tree.nodes() == [(0, 0, 3), (2, 0, 2)]
 
 
+def test_mixing_takes_the_first_by_finish_time(spark, monkeypatch):
+    """Few, crowded ranges and many fine ones end the mix at the same copy."""
+    rng = random.Random(21)
+    frame = spark.createDataFrame([(i, "w " * rng.randint(0, 20), rng.choice("aab")) for i in range(400)], "doc_id long, text string, source string").repartition(3)
+    fine = {r.doc_id: r.copies for r in mixing.mix(frame).collect()}
+    monkeypatch.setattr(mixing, "RANGES", 2)
+    assert {r.doc_id: r.copies for r in mixing.mix(frame).collect()} == fine
+    assert 0 < sum(fine.values()) < 800
+
+
 def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
     frames = [awkward]
@@ -284,7 +294,10 @@ def test_mixing(spark, awkward, empty):
         assert again == {r.doc_id: r.taken for r in rows}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize(("block", "turn"), [(embeddings.BLOCK, embeddings.TURN), (7, 11)])
+def test_embeddings(spark, monkeypatch, block, turn):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "TURN", turn)
     rng = np.random.default_rng(4)
     rows = []
     centres = rng.standard_normal((5, 64))

@@ -26,8 +26,10 @@ COSINE = 0.98
 TABLES, SPACES, SCALE, SEED = 8, 2, 0.26, 5
 #: Lookups of each vector in each table: its own cell, and one neighbour for each space.
 PROBES = 1 + SPACES
-#: Vectors filed under a cell that one task compares with at a time.
-BLOCK = 512
+#: Vectors filed under a cell, and lookups of it, that one call compares; and lookups of one product.
+BLOCK, TURN, STEP = 2048, 8192, 512
+#: Linked pairs that are kept before a forest replaces them.
+PAIRS = 1 << 20
 
 
 def planes(dim: int) -> np.ndarray:
@@ -173,8 +175,9 @@ def _comparison(dtype: str):
         left, right = np.flatnonzero(~filed), np.flatnonzero(filed)
         sums: dict[int, int] = {}
         links: list[tuple[np.ndarray, np.ndarray]] = []
-        for a in range(0, len(left), BLOCK):
-            rows = left[a : a + BLOCK]
+        held = 0
+        for a in range(0, len(left), STEP):
+            rows = left[a : a + STEP]
             i, j = np.nonzero((unit[rows] @ unit[right].T >= COSINE) & (node[rows][:, None] != node[right][None, :]))
             for c in range(0, len(i), 1 << 16):
                 x, y = rows[i[c : c + (1 << 16)]], right[j[c : c + (1 << 16)]]
@@ -183,6 +186,9 @@ def _comparison(dtype: str):
                 keep = _first(every[x], every[y], swap) == (2 * t + swap) * PROBES + p
                 x, y = x[keep], y[keep]
                 links.append((node[x], node[y]))
+                held += len(x)
+                if held > PAIRS:
+                    links, held = [graph.roots(*(np.concatenate([pair[k] for pair in links]) for k in (0, 1)))], 0
                 for who, other in ((x, y), (y, x)):
                     ids, at = np.unique(node[who], return_inverse=True)
                     for k, v in zip(ids.tolist(), np.bincount(at, n[other]).astype(np.int64).tolist(), strict=True):
@@ -209,12 +215,18 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     flat = common.written(nodes(vectors, id_col, vector_col, label_col, dtype), "vectors")
     distinct = common.written(flat.groupBy("label", "raw").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")).select("node", "label", "n", "raw"), "nodes")
     rows = _filed(distinct, dtype)
-    # Crowded cells: the filed vectors are cut into blocks, and every lookup goes to each block.
-    crowd = common.written(rows.filter("filed").groupBy("label", "cell", "width").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "crowds")
-    placed = rows.join(crowd, ["label", "cell", "width"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = placed.withColumn("block", F.explode(F.when(F.col("filed"), F.array(block)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))).drop("blocks")
-    met = common.written(placed.groupBy("label", "cell", "width", "block").applyInArrow(_comparison(dtype), "node long, links long, root long"), "met")
+    # A cell matters only if two nodes meet in it.  Crowded ones are cut: filed vectors into blocks,
+    # lookups into turns, and each block meets each turn.
+    cell = ["label", "cell", "width"]
+    count = lambda who: F.count(F.when(who, 1))
+    crowd = rows.groupBy(*cell).agg(count(F.col("filed")).alias("filed"), count(~F.col("filed")).alias("looked"), F.min("node").alias("low"), F.max("node").alias("high"))
+    crowd = common.written(crowd.filter("filed > 0 and low < high").select(*cell, F.ceil(F.col("filed") / BLOCK).alias("blocks"), F.ceil(F.col("looked") / TURN).alias("turns")), "crowds")
+    place = lambda total: F.pmod(F.xxhash64("node"), F.col(total))
+    every = lambda total: F.sequence(F.lit(0).cast("long"), F.col(total) - 1)
+    placed = rows.join(crowd, cell)
+    placed = placed.withColumn("block", F.explode(F.when(F.col("filed"), F.array(place("blocks"))).otherwise(every("blocks"))))
+    placed = placed.withColumn("turn", F.explode(F.when(F.col("filed"), every("turns")).otherwise(F.array(place("turns"))))).drop("blocks", "turns")
+    met = common.written(placed.groupBy(*cell, "block", "turn").applyInArrow(_comparison(dtype), "node long, links long, root long"), "met")
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     # Nodes are ids of distinct vectors; the ids of equal ones hang on them.
     comp = graph.components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
