@@ -215,6 +215,34 @@ def test_templates():
     assert n == 14 and base == [(2, "cc-by"), (7, "reserved"), (10, "cc-by"), (12, "cc-by")] and (0, 7, "cc-by-nc-4.0") in spans
 
 
+def filled(markup):
+    """A text that a template accepts: optional regions kept, the first choice taken, holders named."""
+    markup = re.sub(r"<<one:([^|>]*)[^>]*>>", r"\1", markup.replace("<<optional>>", "").replace("<<end>>", ""))
+    return re.sub(r"<<any:[0-9]+>>", "x", markup)
+
+
+@pytest.mark.parametrize("label", licenses.BODIES)
+def test_license_bodies(label):
+    auto = licenses.compile_template(label, licenses.BODIES[label])
+    words = filled(licenses.BODIES[label]).split()
+    text = "Before. " + ", ".join(w.upper() for w in words) + " after"
+    assert licenses.scan_text(text.encode(), [auto])[2] == [(1, 1 + len(words), label)]
+    # Every word counts but those inside regions: a changed one in the first or last phrase is refused.
+    for at in (0, len(words) - 1):
+        changed = [*words[:at], "other", *words[at + 1 :]]
+        assert licenses.scan_text(" ".join(changed).encode(), [auto])[2] == []
+
+
+def test_license_markup():
+    auto = licenses.compile_template("t", "one two three <<optional>>four <<optional>>five<<end>> six<<end>> seven eight")
+    accepted = ["one two three seven eight", "one two three four six seven eight", "one two three four five six seven eight"]
+    refused = ["one two three five seven eight", "one two three four seven eight", "one two three six seven eight"]
+    assert [len(licenses.scan_text(t.encode(), [auto])[2]) for t in accepted + refused] == [1, 1, 1, 0, 0, 0]
+    for bad in ("<<optional>>a<<end>>", "a <<optional>>b"):
+        with pytest.raises(ValueError, match="mandatory"):
+            licenses.compile_template("t", bad)
+
+
 def test_license_base_by_brute_force(awkward, empty):
     rng = random.Random(3)
     for _ in range(2000):
