@@ -54,3 +54,8 @@ def test_messages(spark):
     out.collect()
     assert last_diagnostics("filter_care_setting") == {"n_rows": 8, "n_kept": 5}
     assert filter_care_setting(df.limit(0)).count() == 0
+
+
+def test_names_are_snake_case_either_way(spark):
+    df = spark.createDataFrame(ROWS, COLS)
+    assert filter_care_setting(df, clean_names=False).columns == filter_care_setting(df).columns

@@ -50,7 +50,7 @@ def test_same_whatever_the_partitions(spark):
 def test_names_and_arguments(spark):
     df = frame(spark, ROWS)
     assert dedupe(df).columns[:2] == ["hospital_name", "visit_id"]
-    assert dedupe(df, clean_names_out=False).columns == df.columns
+    assert dedupe(df, clean_names=False).columns == df.columns
     with pytest.raises(ValueError, match="keep"):
         dedupe(df, keep="best")
     with pytest.warns(UserWarning, match="order_by"):

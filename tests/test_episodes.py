@@ -185,3 +185,7 @@ def test_strategies(spark, strategy, values, classes, result):
 def test_other_delimiters(spark):
     df = spark.createDataFrame([(["a|b", "b|c"],)], "v array<string>")
     assert df.select(merge.union_delimited(F.col("v"), "|").alias("x")).first().x == "a|b|c"
+
+
+def test_names_are_snake_case_either_way(spark):
+    assert link_encounters(*pulls(spark), clean_names=False).columns == link_encounters(*pulls(spark)).columns

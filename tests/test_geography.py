@@ -44,3 +44,9 @@ def test_other_site_and_plan(spark):
     out = assign_treating_geography(df, site="TN")
     assert [r[".out_of_state"] for r in out.collect()] == [True, False, True, True, True, True]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_snake_case_either_way(spark):
+    df = spark.createDataFrame(ROWS, COLS)
+    for assign in (assign_treating_geography, assign_facility_geography):
+        assert assign(df, clean_names=False).columns == assign(df).columns

@@ -44,3 +44,8 @@ def test_arguments(spark):
     with pytest.raises(ValueError, match="method"):
         review(frame(spark, [1]), method="sd")
     assert review(frame(spark, []), return_format="all").count() == 0
+
+
+def test_names_are_snake_case_either_way(spark):
+    df = frame(spark, [20, 20, 20, 20, 1])
+    assert review(df, method="iqr", clean_names=False).columns == review(df, method="iqr").columns

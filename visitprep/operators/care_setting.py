@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics
-from ..functions.names import clean_names, col, resolve, resolve_optional
+from ..functions.names import clean_names as cleaned, col, resolve, resolve_optional
 
 KEEP = ("Emergency Care", "Inpatient Practice Setting")
 
@@ -41,6 +41,7 @@ def filter_care_setting(
     fix_facility_type_regex: str | None = None,
     fix_to: str = "Emergency Care",
     dry_run: bool = False,
+    clean_names: bool = True,
     verbose: bool = True,
     diagnostics_mode: str = "lazy",
 ) -> DataFrame:
@@ -51,8 +52,9 @@ def filter_care_setting(
     With a pattern, a row without a facility name gets a null type and is dropped.
     ``dry_run`` returns instead the number of visits for each facility and pair of types, largest
     first, with ``.would_keep``, and warns of listed names that do not occur.
+    Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
     """
-    df = clean_names(data)
+    df = cleaned(data)
     facility, kind = resolve(df, facility_col), resolve(df, facility_type_col)
     ident = resolve_optional(df, facility_id_col)
     if ident is None and fix_facility_id_vector is not None:

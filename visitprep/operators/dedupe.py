@@ -8,22 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics
-from ..functions.names import check_choice, clean_names, col, resolve
+from ..functions.names import check_choice, clean_names as cleaned, col, resolve
 from ..functions.ordering import ORDER, by_order, with_order
 
 
-def dedupe(data: DataFrame, *, facility_col: str = "HospitalName", visit_col: str = "Visit_ID", order_by: str | None = None, keep: str = "first", clean_names_out: bool = True, order_key: Sequence[str] | None = None) -> DataFrame:
+def dedupe(data: DataFrame, *, facility_col: str = "HospitalName", visit_col: str = "Visit_ID", order_by: str | None = None, keep: str = "first", clean_names: bool = True, order_key: Sequence[str] | None = None) -> DataFrame:
     """Keep one row of each facility and visit.
 
     ``keep`` is "first", "last" or "most_complete" (most values that are not null or NaN, the earliest
     on a tie).  ``order_by`` sorts rows before first and last are taken, nulls last, ties in row order;
     it is ignored, with a warning, for "most_complete".  Null keys form groups like any value.  Row
-    order is that of ``order_key`` or of the scan.  With ``clean_names_out=False`` the given names come
+    order is that of ``order_key`` or of the scan.  With ``clean_names=False`` the given names come
     back.  One shuffle; Spark drops all but a task's best row of a key before it.
     """
     check_choice("keep", keep, ("first", "last", "most_complete"))
     given = data.columns
-    df = clean_names(data)
+    df = cleaned(data)
     facility, visit = resolve(df, facility_col), resolve(df, visit_col)
     sort_by = resolve(df, order_by) if order_by else None
     if sort_by and keep == "most_complete":
@@ -41,4 +41,4 @@ def dedupe(data: DataFrame, *, facility_col: str = "HospitalName", visit_col: st
         order = [*([col(sort_by).desc_nulls_first()] if sort_by else []), by_order(last=True)]
     rank = F.row_number().over(Window.partitionBy(col(facility), col(visit)).orderBy(*order))
     out = df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank", ORDER)
-    return out if clean_names_out else out.toDF(*given)
+    return out if clean_names else out.toDF(*given)

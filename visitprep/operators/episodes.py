@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics, merge
-from ..functions.names import check_choice, clean_names, col, resolve, resolve_optional, snake
+from ..functions.names import check_choice, clean_names as cleaned, col, resolve, resolve_optional, snake
 from ..functions.ordering import ORDER, with_order
 from ..functions.timestamps import as_timestamp, parse_timestamp, parse_updates, trimmed
 
@@ -118,6 +118,7 @@ def link_encounters(
     merge_fields: Mapping[str, str] | None = None,
     merge_delimiter: str = ";",
     return_format: str = "collapsed",
+    clean_names: bool = True,
     verbose: bool = True,
     order_key: Sequence[str] | None = None,
     keep_flags: bool = False,
@@ -136,12 +137,13 @@ def link_encounters(
     Everything happens in one shuffle by facility and visit.  Windows share it; the collapsing
     aggregation carries whole rows only for the one that stays, and otherwise just the fields to merge.
     Episodes are always the two key columns, so ids that read alike cannot mix.
+    Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
     """
     check_choice("return_format", return_format, ("collapsed", "long"))
     fields = {snake(k): v for k, v in (MERGE_FIELDS if merge_fields is None else merge_fields).items()}
     if wrong := sorted({v for v in fields.values() if v not in merge.STRATEGIES}):
         raise ValueError(f"merge_fields has unknown strategies {', '.join(wrong)}; there are {', '.join(merge.STRATEGIES)}")
-    ed = clean_names(ed_data)
+    ed = cleaned(ed_data)
     facility, visit = resolve(ed, facility_col), resolve(ed, visit_col)
     list_col = resolve_optional(ed, "C_Patient_Class_List")
     figures: dict[str, Column] = {}
@@ -181,7 +183,7 @@ def link_encounters(
     ed = with_order(ed, order_key)
     long = (_from_lists(ed, list_col, updates_col) if list_col else _from_flags(ed, keep_flags)).withColumn(SOURCE, F.lit(0))
     if inpatient_admission_data is not None:
-        extra = _inpatient(with_order(clean_names(inpatient_admission_data), order_key), verbose)
+        extra = _inpatient(with_order(cleaned(inpatient_admission_data), order_key), verbose)
         _check_types(long, extra)
         long = long.unionByName(extra, allowMissingColumns=True)
     time = [F.col(f"`{TIME}`")] if TIME in long.columns else []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics
-from ..functions.names import check_choice, clean_names, col, resolve_optional
+from ..functions.names import check_choice, clean_names as cleaned, col, resolve_optional
 
 KINDS = ("region", "zip")
 #: Region of residents of other places, and the suffix of a site's unknown region.
@@ -55,6 +55,7 @@ def assign_treating_geography(
     zip_col: str = "ZipCode",
     hospital_zip_col: str = "HospitalZip",
     preserve_original_geographies: bool = False,
+    clean_names: bool = True,
     verbose: bool = True,
     diagnostics_mode: str = "lazy",
 ) -> DataFrame:
@@ -64,10 +65,11 @@ def assign_treating_geography(
     unknown region, or does not start with the site and an underscore.  Originals are kept under that
     flag only.  A null at the hospital replaces the value too.  Where no geography is possible the
     data come back as they are, with a warning.
+    Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
     """
     for kind in geography:
         check_choice("geography", kind, KINDS)
-    df = clean_names(data)
+    df = cleaned(data)
     found = _columns(df, {"region": region_col, "hospital_region": hospital_region_col, "zip": zip_col, "hospital_zip": hospital_zip_col})
     if found["region"] is None:
         raise ValueError("the patient's region is needed to tell visits from outside, for zip codes too")
@@ -91,15 +93,17 @@ def assign_facility_geography(
     zip_col: str = "ZipCode",
     hospital_zip_col: str = "HospitalZip",
     preserve_original_geographies: bool = False,
+    clean_names: bool = True,
     verbose: bool = True,
 ) -> DataFrame:
     """Give every visit the region and zip code of its hospital, and ``.facility_geography`` true.
 
     Where no geography is possible the data come back as they are, with a warning.
+    Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
     """
     for kind in geography:
         check_choice("geography", kind, KINDS)
-    df = clean_names(data)
+    df = cleaned(data)
     found = _columns(df, {"region": region_col, "hospital_region": hospital_region_col, "zip": zip_col, "hospital_zip": hospital_zip_col})
     kinds = _possible(found, geography, verbose, needs_region=True)
     if not kinds:

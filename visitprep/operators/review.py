@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics
-from ..functions.names import check_choice, clean_names, col, resolve, resolve_optional
+from ..functions.names import check_choice, clean_names as cleaned, col, resolve, resolve_optional
 
 
 def review_facility_ed_visits(
@@ -21,6 +21,7 @@ def review_facility_ed_visits(
     iqr_multiplier: float = 1.5,
     group_by_type: bool = False,
     return_format: str = "outliers_only",
+    clean_names: bool = True,
     verbose: bool = True,
 ) -> DataFrame:
     """Count visits by facility and type and flag unusual counts.
@@ -30,10 +31,11 @@ def review_facility_ed_visits(
     or both (either flags), over all facilities or within types; only a strictly smaller or larger
     figure is flagged.  The table of facilities is what is compared, so the thresholds are one row
     (or one for each type) beside it.
+    Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
     """
     check_choice("method", method, ("percentile", "iqr", "both"))
     check_choice("return_format", return_format, ("outliers_only", "all"))
-    df = clean_names(data)
+    df = cleaned(data)
     facility, kind = resolve(df, facility_col), resolve(df, facility_type_col)
     date = resolve_optional(df, date_col) if date_col else None
     if date_col and date is None:
