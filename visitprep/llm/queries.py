@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
@@ -72,6 +73,13 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")), keep=["doc_id", "ids"])
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
