@@ -80,6 +80,12 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ball_kmeans
+
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

@@ -110,5 +110,35 @@ from docs left join cut using (doc_id)
 """
 
 
+#: One round of op13: all vectors against all centroids, then the means.
+_ROUND = """
+a{n} as materialized (
+    select place, vec_id, v, cluster, far from (
+        select place, vec_id, x.v, cluster, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far
+        from kept x, c{n} c)
+    qualify row_number() over (partition by place order by far, cluster) = 1)"""
+_MEANS = """
+m{n} as (
+    select cluster, list((total - (total % n + n) % n) // n order by i)::bigint[] as v
+    from (select cluster, i, sum(x) as total, count(*)::hugeint as n from (select cluster, unnest(v) as x, unnest(range(64)) as i from a{n}) group by cluster, i)
+    group by cluster),
+c{next} as materialized (
+    select cluster, coalesce(m{n}.v, c{n}.v) as v from c{n} left join m{n} using (cluster))"""
+
+OP13 = f"""
+with kept as materialized (
+    select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+    select (row_number() over (order by sha256('2:' || vec_id), v) - 1)::int as cluster, v from kept
+    qualify row_number() over (order by sha256('2:' || vec_id), v) <= 40),
+{",".join(_ROUND.format(n=n) + "," + _MEANS.format(n=n, next=n + 1) for n in range(5))},
+{_ROUND.format(n=5)}
+select vec_id, cluster, far as distance, (sum(far) over (partition by cluster))::bigint as cluster_inertia,
+       (sum(far) over ())::bigint as inertia, sha256(array_to_string(c5.v, ',')) as centroid_sha256
+from a5 join c5 using (cluster)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_array": OP5, "op6_ngram_jaccard": OP6, "op9_lattice_embeddings": OP9, "op10_suffix_trees": OP10}
+    return {"op5_suffix_array": OP5, "op6_ngram_jaccard": OP6, "op9_lattice_embeddings": OP9, "op10_suffix_trees": OP10, "op13_ball_kmeans": OP13}
