@@ -73,6 +73,12 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 

@@ -110,6 +110,44 @@ from docs left join cut using (doc_id)
 """
 
 
+#: Shares of terms in whole numbers, of a count in a total over ``size`` terms.
+_SHARE = "(1 + (1000000000::hugeint * ({0} + 5)) // ({1} + 5 * size))::bigint"
+
+OP11 = f"""
+with docs as (
+    select row_number() over () as place, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents),
+words as materialized (
+    select place, lang, source, unnest(terms) as term from docs),
+kept as materialized (
+    select lang, term from words group by lang, term having count(distinct place) >= 30),
+sizes as (
+    select lang, count(*) as size from kept group by lang),
+counted as materialized (
+    select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by lang, source, term),
+groups as materialized (
+    select distinct lang, source from docs),
+every as materialized (
+    select lang, source, term, coalesce(n, 0) as n, sum(coalesce(n, 0)) over (partition by lang, source) as total,
+           sum(coalesce(n, 0)) over (partition by lang, term) as lang_n, sum(coalesce(n, 0)) over (partition by lang) as lang_total, size
+    from groups join kept using (lang) join sizes using (lang) left join counted using (lang, source, term)),
+shares as materialized (
+    select lang, source, term, n, {_SHARE.format("n", "total")} as p, {_SHARE.format("lang_n", "lang_total")} as q from every),
+pairs as (
+    select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+               from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+      on s.lang = a.lang and s.source = a.source and s.item = b.source),
+found as (
+    select lang, source, 'pair' as part, item, value from pairs
+    union all
+    select lang, source, 'term', term, p - q from shares where n > 0 and p > q)
+select *, (row_number() over (partition by lang, source, part order by value desc, encode(item)))::int as rank
+from found qualify part = 'pair' or rank <= 50
+"""
+
 #: One round of op13: all vectors against all centroids, then the means.
 _ROUND = """
 a{n} as materialized (
@@ -141,4 +179,4 @@ from a5 join c5 using (cluster)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_array": OP5, "op6_ngram_jaccard": OP6, "op9_lattice_embeddings": OP9, "op10_suffix_trees": OP10, "op13_ball_kmeans": OP13}
+    return {"op5_suffix_array": OP5, "op6_ngram_jaccard": OP6, "op9_lattice_embeddings": OP9, "op10_suffix_trees": OP10, "op11_divergence": OP11, "op13_ball_kmeans": OP13}
