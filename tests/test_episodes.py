@@ -118,7 +118,7 @@ def test_order_does_not_depend_on_partitions(spark):
 
 def test_one_shuffle(spark):
     ed, da = pulls(spark)
-    plan = link_encounters(ed, da.drop("HasBeenE"))._jdf.queryExecution().executedPlan().toString()
+    plan = link_encounters(ed, da.drop("HasBeenE"), heavy_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
@@ -189,3 +189,85 @@ def test_other_delimiters(spark):
 
 def test_names_are_snake_case_either_way(spark):
     assert link_encounters(*pulls(spark), clean_names=False).columns == link_encounters(*pulls(spark)).columns
+
+
+ODD = "HospitalName string, Visit_ID string, HasBeenE int, HasBeenAdmitted int, HasBeenX int, C_Visit_Date_Time timestamp, n int, CCDD string, CCDDCategory_flat string, C_Death string, Discharge_Disposition string, DispositionCategory int"
+
+
+def odd_rows(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    some = lambda *values: rng.choice([None, "", *values])
+    return [
+        (rng.choice(["A", "B", None]), rng.choice(["0", "V1", "V2", f"V{i}", None]), rng.choice([0, 1, 1, None]), rng.choice([0, 1, None]), rng.choice([0, 1, None]), rng.choice([None, dt.datetime(2023, 1, 1 + i % 9)]), i,
+         some("a;b|X;Y", "b;c|Y", "d|", "e|Z|more"), some("x;y", " y ;z", "w;;x"), some("No", "yes", "YES", "1"), some("home", "ward", "home again"), rng.choice([None, 1, 2, 3]))
+        for i in range(n)
+    ]
+
+
+ALL_STRATEGIES = ["concat", "union_delimited", "union_ccdd", "prefer_yes", "prefer_admission"]
+
+
+@pytest.mark.parametrize("turn", range(5))
+def test_visits_of_many_rows_are_linked_alike(spark, turn):
+    """The way of heavy visits gives what the windows give, for every strategy on every field."""
+    ed, da = (spark.createDataFrame(odd_rows(150, seed), ODD).repartition(3) for seed in (turn, turn + 50))
+    fields = {c: ALL_STRATEGIES[(i + turn) % 5] for i, c in enumerate(["CCDD", "CCDDCategory_flat", "C_Death", "Discharge_Disposition"])}
+    fields["DispositionCategory"] = ["prefer_admission", "prefer_yes"][turn % 2]
+    for how in ("long", "collapsed"):
+        plain, all_heavy, some_heavy = ([repr(r) for r in link_encounters(ed, da, merge_fields=fields, return_format=how, order_key=["n"], heavy_rows=h, keep_flags=True).collect()] for h in (None, 0, 8))
+        assert sorted(plain) == sorted(all_heavy) == sorted(some_heavy) and plain
+
+
+def test_class_lists_of_many_rows(spark):
+    rows = [("A", "0", c, i) for i, c in enumerate(["EI", None, "", "Emergency, Odd one", "ZE", "D"] * 3)] + [(None, None, "I", 50), (None, None, "E", 51)]
+    df = spark.createDataFrame(rows, "HospitalName string, Visit_ID string, C_Patient_Class_List string, n int")
+    got = [sorted(repr(r) for r in link_encounters(df, return_format="long", order_key=["n"], heavy_rows=h).collect()) for h in (None, 1)]
+    assert got[0] == got[1] and any("'Direct Admit->ED->Inpatient->Odd one->Z'" in r for r in got[0])
+
+
+def shuffled_rows(df):
+    """Rows that each shuffle of an executed plan wrote."""
+    plan, found, todo = df._jdf.queryExecution().executedPlan(), [], []
+    todo.append(plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") and "Adaptive" in plan.nodeName() else plan)
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small partitions stay, 16 of each shuffle, so that they can be compared."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_placeholder_visit_is_no_one_task(uncoalesced):
+    """One visit has 30 % of the rows; no task has over twice the median."""
+    spark, n = uncoalesced, 60_000
+    df = spark.range(n, numPartitions=8).selectExpr(
+        "'H' as HospitalName", "if(id % 10 < 3, '0', cast(id as string)) as Visit_ID", "1 as HasBeenE", "cast(id % 7 = 0 as int) as HasBeenAdmitted",
+        "timestamp_seconds(id) as C_Visit_Date_Time", "concat('d', id % 5) as Discharge_Disposition", "id as n",
+    )
+    args = {"order_key": ["n"], "heavy_rows": 5_000, "merge_fields": {"Discharge_Disposition": "concat"}}
+    long = link_encounters(df, return_format="long", **args)
+    sizes = sorted(r["count"] for r in long.groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2] and sum(sizes) == n + len(range(0, n, 7))
+    collapsed = link_encounters(df, **args)
+    rows = collapsed.filter("visit_id = '0'").collect()
+    assert len(rows) == 1 and rows[0].discharge_disposition == "d0; d1; d2" and rows[0][".episode_n_rows"] == len([i for i in range(n) if i % 10 < 3]) + len([i for i in range(0, n, 7) if i % 10 < 3])
+    collapsed.collect()
+    wrote = sorted(shuffled_rows(collapsed))
+    light = len([i for i in range(n) if i % 10 >= 3]) + len([i for i in range(0, n, 7) if i % 10 >= 3])
+    # Two shuffles have the light visits: their rows, and the count by visit with a row from each task for the heavy one.
+    assert light in wrote and all(w < 200 for w in wrote if not light <= w <= light + 8 and w != n - n * 3 // 10 + 8), wrote

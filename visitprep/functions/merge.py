@@ -22,6 +22,15 @@ def present(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & (v.cast("string") != ""))
 
 
+def affirmative(value: Column) -> Column:
+    """Whether a value says yes; false for a null."""
+    return F.coalesce(F.lower(F.regexp_replace(value.cast("string"), r"\.0$", "")).isin("yes", "1"), F.lit(False))
+
+
+def admits(patient_class: Column) -> Column:
+    return F.coalesce(patient_class.isin(*ADMISSION), F.lit(False))
+
+
 def _parts(texts: Column, delimiter: str) -> Column:
     """Trimmed pieces that are not empty, each once, in order of appearance."""
     pieces = F.flatten(F.transform(texts, lambda t: F.split(t, re.escape(delimiter) if len(delimiter) == 1 else rf"\Q{delimiter}\E")))
@@ -52,13 +61,13 @@ def union_ccdd(values: Column, delimiter: str) -> Column:
 
 def prefer_yes(values: Column, primary: Column) -> Column:
     """The first affirmative value as it is written, else the primary one."""
-    affirmative = F.filter(values, lambda v: v.isNotNull() & F.lower(F.regexp_replace(v.cast("string"), r"\.0$", "")).isin("yes", "1"))
-    return F.when(F.size(affirmative) > 0, F.get(affirmative, F.lit(0))).otherwise(primary)
+    said = F.filter(values, affirmative)
+    return F.when(F.size(said) > 0, F.get(said, F.lit(0))).otherwise(primary)
 
 
 def prefer_admission(values: Column, classes: Column, primary: Column) -> Column:
     """The first present value of an admission row, else the primary one."""
-    rows = F.filter(F.arrays_zip(classes.alias("c"), values.alias("v")), lambda r: F.coalesce(r["c"].isin(*ADMISSION), F.lit(False)) & r["v"].isNotNull() & (r["v"].cast("string") != ""))
+    rows = F.filter(F.arrays_zip(classes.alias("c"), values.alias("v")), lambda r: admits(r["c"]) & r["v"].isNotNull() & (r["v"].cast("string") != ""))
     return F.when(F.size(rows) > 0, F.get(rows, F.lit(0))["v"]).otherwise(primary)
 
 

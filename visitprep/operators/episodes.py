@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,9 @@ MERGE_FIELDS = {
 }
 DIRECT = "Direct Admit"
 TIME, SOURCE, PLACE = ".class_time", "__source", "__place"
+SEQUENCE, N_ROWS, INDEX = ".patient_class_sequence", ".episode_n_rows", ".index_encounter"
+#: Rows of a visit from which it is linked in two steps, and how many such visits are, the largest.
+HEAVY_ROWS, HEAVY_VISITS = 50_000, 10_000
 
 
 def split_classes(value: Column) -> Column:
@@ -123,6 +127,7 @@ def link_encounters(
     order_key: Sequence[str] | None = None,
     keep_flags: bool = False,
     sort: bool = False,
+    heavy_rows: int | None = HEAVY_ROWS,
     diagnostics_mode: str = "lazy",
 ) -> DataFrame:
     """Link records of one facility and visit into a care episode.
@@ -134,9 +139,16 @@ def link_encounters(
     largest of each remaining flag and reconciles ``merge_fields`` over the episode; episodes of one
     row are left alone.
 
-    Everything happens in one shuffle by facility and visit.  Windows share it; the collapsing
-    aggregation carries whole rows only for the one that stays, and otherwise just the fields to merge.
-    Episodes are always the two key columns, so ids that read alike cannot mix.
+    Everything happens in one shuffle by facility and visit, whose windows share one sort.  Collapsing
+    keeps a row where it is: windows mark the row that stays and gather the fields to merge, and only
+    for episodes of several rows.  Episodes are always the two key columns, so ids that read alike
+    cannot mix.
+
+    Visits of more than ``heavy_rows`` rows, such as those under a placeholder id, would each be one task.
+    The 10,000 largest of them are found by a count and take another way: first times by class, the
+    row that stays and distinct values to merge are aggregated in two steps, before and after a
+    shuffle, and rows of the long format stay where they are.  Any visit beyond those has less than
+    a ten-thousandth of the rows.  ``heavy_rows=None`` leaves out the count.
     Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
     """
     check_choice("return_format", return_format, ("collapsed", "long"))
@@ -197,45 +209,126 @@ def link_encounters(
         diagnostics.warn("no column gives a time, so classes are in alphabetical order")
     elif diagnostics_mode == "eager" and long.filter(col(TIME).isNotNull()).isEmpty():
         diagnostics.warn("no time could be read, so classes are in alphabetical order")
-    key = [col(facility), col(visit)]
-    episode, own_class = Window.partitionBy(*key), Window.partitionBy(*key, "patient_class")
-    first = F.col("__first")
-    long = (
-        # One shuffle by the coarse key: its partitioning serves the finer windows too.
-        long.repartition(*key)
-        .withColumn("__first", F.min(col(TIME)).over(own_class))
-        .withColumns({
-            # One entry for each class, however many rows an episode has.
-            ".patient_class_sequence": class_sequence(F.collect_set(F.struct(first.isNull().alias("untimed"), first.alias("time"), F.col("patient_class").alias("class"))).over(episode)),
-            ".episode_n_rows": F.count(F.lit(1)).over(episode),
-        })
-        .withColumn(".episode_id", episode_id(*key))
-        .withColumn(".index_encounter", (F.col("patient_class") == "ED") | ((F.col("patient_class") != "ED") & (col(".episode_n_rows") == 1)))
-    )
-    hidden = {ORDER, SOURCE, PLACE, TIME, "__first"}
-    metadata = ["patient_class", ".episode_id", ".patient_class_sequence", ".episode_n_rows", ".index_encounter"]
-    columns = [c for c in long.columns if c not in hidden and c not in metadata] + metadata
-    if return_format == "long":
-        return long.select(*[col(c) for c in columns])
-    flags = [c for c in columns if c.startswith("has_been_")]
-    fields = {k: v for k, v in fields.items() if k in columns}
-    place = F.struct(F.col(SOURCE), F.col(ORDER), F.col(PLACE))
-    primary = F.min_by(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)]), F.struct(F.coalesce(F.col("patient_class") != "ED", F.lit(True)), place))
-    rows = F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("patient_class").alias("class"), *[col(c).alias(f"f{i}") for i, c in enumerate(fields)])))
-    grouped = long.groupBy(col(facility).alias("__facility"), col(visit).alias("__visit")).agg(primary.alias("p"), rows.alias("rows"), *[F.max(col(c)).alias(f"m{i}") for i, c in enumerate(flags)])
-    several = F.size("rows") > 1
-    classes = F.transform("rows", lambda r: r["class"])
-    out = []
-    for i, c in enumerate(columns):
-        value = F.col("p")[f"c{i}"]
-        if c in flags:
-            value = F.col(f"m{flags.index(c)}")
-        elif c in fields:
-            name = f"f{list(fields).index(c)}"
-            values = F.transform("rows", lambda r: r[name])  # noqa: B023  (used at once)
-            value = F.when(several, merge.merged(fields[c], values, classes, value, merge_delimiter)).otherwise(value)
-        elif c == ".index_encounter":
-            value = F.lit(True)
-        out.append(value.alias(c))
-    result = grouped.select(*out)
+    long = long.withColumn("__key", F.struct(col(facility).alias("facility"), col(visit).alias("visit")))
+    columns = [c for c in long.columns if c not in (ORDER, SOURCE, PLACE, TIME, "__key", "patient_class")]
+    fields = {k: v for k, v in fields.items() if k in columns} if return_format == "collapsed" else {}
+    parts = [long]
+    if heavy_rows is not None:
+        sizes = long.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy_rows)
+        heavy = F.broadcast(sizes.orderBy(F.col("n").desc(), "__key").limit(HEAVY_VISITS).select("__key"))  # HEAVY_VISITS rows at most
+        parts = [long.join(heavy, "__key", "left_anti"), long.join(heavy, "__key")]
+    make = (_long, _long_heavy) if return_format == "long" else (_collapsed(columns, fields, merge_delimiter), _collapsed_heavy(columns, fields, merge_delimiter))
+    out = [f(part).withColumn(".episode_id", episode_id(F.col("__key.facility"), F.col("__key.visit"))) for f, part in zip(make, parts)]
+    shown = [*columns, "patient_class", ".episode_id", SEQUENCE, N_ROWS, INDEX]
+    result = functools.reduce(DataFrame.unionByName, [df.select(*[col(c) for c in shown]) for df in out])
     return result.orderBy(col(".episode_id").asc_nulls_last()) if sort else result
+
+
+def _timed_class(first: Column) -> Column:
+    return F.struct(first.isNull().alias("untimed"), first.alias("time"), F.col("patient_class").alias("class"))
+
+
+def _is_index() -> Column:
+    return (F.col("patient_class") == "ED") | ((F.col("patient_class") != "ED") & (col(N_ROWS) == 1))
+
+
+def _row_place() -> Column:
+    return F.struct(F.col(SOURCE), F.col(ORDER), F.col(PLACE))
+
+
+def _stays() -> Column:
+    """What is least for the row of an episode that stays: its first emergency row, or else its first row."""
+    return F.struct(F.coalesce(F.col("patient_class") != "ED", F.lit(True)), _row_place())
+
+
+def _windowed(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """Rows with sequence and size of their episode, and with ``more`` figures of it."""
+    episode, own_class = Window.partitionBy("__key"), Window.partitionBy("__key", "patient_class")
+    # One shuffle by the coarse key: its partitioning and sorting serve the finer windows too.
+    rows = rows.repartition("__key").withColumn("__first", F.min(col(TIME)).over(own_class))
+    # One entry for each class, however many rows an episode has.
+    classes = F.collect_set(_timed_class(F.col("__first"))).over(episode)
+    return rows.withColumns({"__classes": classes, N_ROWS: F.count(F.lit(1)).over(episode), **{k: v.over(episode) for k, v in more.items()}}).withColumn(SEQUENCE, class_sequence(F.col("__classes")))
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    return _windowed(rows, {}).withColumn(INDEX, _is_index())
+
+
+def _reconciled(fields: Mapping[str, str], delimiter: str, flags: Mapping[str, str], lists: Mapping[str, Column]) -> dict[str, Column]:
+    """Columns of a collapsed episode, from the row that stays and lists of (class, value) in row order."""
+    value = lambda c: merge.merged(fields[c], F.transform(lists[c], lambda r: r[_FIELD + c]), F.transform(lists[c], lambda r: r["class"]), col(c), delimiter)
+    merged = {c: F.when(col(N_ROWS) > 1, value(c)).otherwise(col(c)) for c in fields if c not in flags}
+    return {**merged, **{c: F.col(n) for c, n in flags.items()}, INDEX: F.lit(True)}
+
+
+_FIELD = "field "
+
+
+def _flags_of(columns: list[str]) -> dict[str, str]:
+    return {c: f"__flag{i}" for i, c in enumerate(c for c in columns if c.startswith("has_been_"))}
+
+
+def _collapsed(columns: list[str], fields: Mapping[str, str], delimiter: str) -> Callable[[DataFrame], DataFrame]:
+    flags = _flags_of(columns)
+
+    def collapse(rows: DataFrame) -> DataFrame:
+        rows = _windowed(rows, {"__least": F.min(_stays()), **{n: F.max(col(c)) for c, n in flags.items()}})
+        several = col(N_ROWS) > 1
+        # Nulls are not gathered, so an episode of one row gathers nothing.
+        entry = F.struct(_row_place().alias("at"), F.col("patient_class").alias("class"), *[col(c).alias(_FIELD + c) for c in fields])
+        if fields:
+            rows = rows.withColumn("__rows", F.collect_list(F.when(several, entry)).over(Window.partitionBy("__key")))
+        rows = rows.filter(~several | (_stays() == F.col("__least")))
+        if fields:
+            rows = rows.withColumn("__rows", F.sort_array("__rows"))
+        return rows.withColumns(_reconciled(fields, delimiter, flags, dict.fromkeys(fields, F.col("__rows"))))
+
+    return collapse
+
+
+def _heavy_classes(rows: DataFrame) -> DataFrame:
+    """Sequence and size of each episode: partial counts and first times by class, then one row each."""
+    by_class = rows.groupBy("__key", "patient_class").agg(F.min(col(TIME)).alias("__first"), F.count(F.lit(1)).alias("n"))
+    both = by_class.groupBy("__key").agg(F.collect_list(_timed_class(F.col("__first"))).alias("classes"), F.sum("n").alias(N_ROWS))
+    return both.select("__key", col(N_ROWS), class_sequence(F.col("classes")).alias(SEQUENCE))
+
+
+def _long_heavy(rows: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(_heavy_classes(rows)), "__key").withColumn(INDEX, _is_index())  # HEAVY_VISITS rows at most
+
+
+def _collapsed_heavy(columns: list[str], fields: Mapping[str, str], delimiter: str) -> Callable[[DataFrame], DataFrame]:
+    flags, every = _flags_of(columns), [*columns, "patient_class"]
+
+    def entries(rows: DataFrame) -> DataFrame:
+        """Values that count, by visit, field and whether the row is an admission, each once, at its first place.
+
+        A value that comes again changes no strategy's result."""
+        counts = {"prefer_yes": lambda v: merge.affirmative(v), "prefer_admission": lambda v: merge.admits(F.col("patient_class")) & (v.cast("string") != "")}
+        value = lambda c: F.when(counts.get(fields[c], lambda v: v.isNotNull())(col(c)), col(c))
+        none = lambda c: F.lit(None).cast(rows.schema[c].dataType)
+        each = F.array(*[F.struct(F.lit(i).alias("field"), *[(value(c) if c == own else none(c)).alias(_FIELD + c) for c in fields]) for i, own in enumerate(fields)])
+        named = [col(_FIELD + c) for c in fields]
+        admitted = F.when(merge.admits(F.col("patient_class")), merge.ADMISSION[0]).alias("class")
+        flat = rows.select("__key", _row_place().alias("at"), admitted, F.explode(each).alias("e")).select("__key", "at", "class", "e.*")
+        return flat.filter(F.coalesce(*[n.cast("string") for n in named]).isNotNull()).groupBy("__key", "field", "class", *named).agg(F.min("at").alias("at"))
+
+    def collapse(rows: DataFrame) -> DataFrame:
+        row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(every)])
+        # Tasks send on one row for each visit they have.
+        kept = rows.groupBy("__key").agg(F.min_by(row, _stays()).alias("row"), *[F.max(col(c)).alias(n) for c, n in flags.items()])
+        out = kept.join(_heavy_classes(rows), "__key")
+        if fields:
+            lists = []
+            for i, (c, how) in enumerate(fields.items()):
+                entry = F.when(F.col("field") == i, F.struct("at", "class", col(_FIELD + c)))
+                # Of a preferred value only the first counts.
+                lists.append((F.sort_array(F.collect_list(entry)) if not how.startswith("prefer") else F.filter(F.array(F.min(entry)), lambda e: e.isNotNull())).alias(f"__list{i}"))
+            out = out.join(entries(rows).groupBy("__key").agg(*lists), "__key", "left")
+        out = out.select("*", *[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(every)])
+        # Without any value there is no list; the strategies take an empty one.
+        some = {c: F.coalesce(F.col(f"__list{i}"), F.array()) for i, c in enumerate(fields)}
+        return out.withColumns(_reconciled(fields, delimiter, flags, some))
+
+    return collapse
