@@ -93,8 +93,8 @@ def test_counts_beyond_a_long_times_the_unit(spark):
 
 def test_whole_terms_only():
     machine = divergence.Automaton(["a", "ab", "b", "é"])
-    assert machine.count(divergence.padded("A a ab,abc b-b é aé".encode())) == {b"a": 2, b"ab": 1, b"b": 2, "é".encode(): 1}
-    assert divergence.Automaton([]).count(b" a ") == {}
+    assert Counter(machine.find(divergence.padded("A a ab,abc b-b é aé".encode()))) == {0: 2, 1: 1, 2: 2, 3: 1}
+    assert list(divergence.Automaton([]).find(b" a ")) == []
 
 
 def test_only_the_result_stays(spark, rows):

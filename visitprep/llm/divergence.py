@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -30,9 +30,9 @@ SENT_BYTES = 4 << 20
 #: Text of one part beyond that, about.
 PART_BYTES = 16 << 20
 #: Entries that a task counts before it sends them on.
-COUNTED = 200_000
+COUNTED = 400_000
 #: Postings of one group that is paired, at least, and sources of one block of them, about.
-PAIRED, SOURCES = 20_000, 1024
+PAIRED, SOURCES = 4_000, 1024
 
 #: Letters in lower case, beyond ASCII as they are, and spaces for all that separates terms.
 _TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -54,16 +54,16 @@ def _rows(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
     return zip(*keys, map(padded, common.utf8(batch, "text")), strict=True)
 
 
-def _counted(counts: dict[tuple, Counter], fields: list[str]) -> pa.RecordBatch:
+def _counted(counts: dict[tuple, Counter], fields: list[str], name: Callable[[tuple, list], list]) -> pa.RecordBatch:
     """Counts by key as rows; ``fields`` names the key's parts, the term and the count."""
     keys = [(k, len(c)) for k, c in counts.items()]
     columns = [pa.array([k[i] for k, n in keys for _ in range(n)], pa.string()) for i in range(len(fields) - 2)]
-    terms = pa.array([t for c in counts.values() for t in c], pa.binary()).cast(pa.string())
+    terms = pa.array([t for k, c in counts.items() for t in name(k, list(c))], pa.binary()).cast(pa.string())
     return pa.RecordBatch.from_arrays([*columns, terms, pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=fields)
 
 
-def _flushed(items: Iterable[tuple[tuple, Counter | set]], fields: list[str]) -> Iterator[pa.RecordBatch]:
-    """Sums of counts over many rows, sent on when there are many entries."""
+def _flushed(items: Iterable[tuple[tuple, Iterable]], fields: list[str], name: Callable[[tuple, list], list] = lambda key, terms: terms) -> Iterator[pa.RecordBatch]:
+    """Counts of what ``items`` have by key, sent on when there are many; ``name`` gives terms for what was counted."""
     counts, size = defaultdict(Counter), 0
     for key, found in items:
         held = counts[key]
@@ -71,9 +71,9 @@ def _flushed(items: Iterable[tuple[tuple, Counter | set]], fields: list[str]) ->
         held.update(found)
         size += len(held) - before
         if size >= COUNTED:
-            yield _counted(counts, fields)
+            yield _counted(counts, fields, name)
             counts, size = defaultdict(Counter), 0
-    yield _counted(counts, fields)
+    yield _counted(counts, fields, name)
 
 
 def vocabulary(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -100,12 +100,20 @@ class Automaton:
         if terms:
             self.machine.make_automaton()
 
-    def count(self, text: bytes) -> Counter:
-        """Occurrences by term.  Matches overlap: neighbours share the delimiter between them."""
-        if not self.terms:
-            return Counter()
-        found = Counter(map(itemgetter(1), self.machine.iter(text.decode())))
-        return Counter({self.terms[i].encode(): n for i, n in found.items()})
+    def find(self, text: bytes) -> Iterable[int]:
+        """The number of the term at each of its occurrences.  Matches overlap: neighbours share a delimiter."""
+        return map(itemgetter(1), self.machine.iter(text.decode())) if self.terms else ()
+
+
+def _found(machines: dict[str, Automaton], rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (language, source, padded text)."""
+    none = Automaton([])
+    found = (((lang, source), machines.get(lang, none).find(text)) for lang, source, text in rows)
+
+    def name(key: tuple, numbers: list) -> list:
+        return [machines[key[0]].terms[i].encode() for i in numbers]
+
+    return _flushed(found, _POSTINGS, name)
 
 
 _POSTINGS = ["lang", "source", "term", "n"]
@@ -120,9 +128,7 @@ def _sent(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = common.hold(f"automata {name}", lambda: {lang: Automaton(found.to_pylist()) for lang, found in sent.value.items()})
-        none = Automaton([])
-        found = (((lang, source), machines.get(lang, none).count(text)) for b in batches for lang, source, text in _rows(b, "lang", "source"))
-        yield from _flushed(found, _POSTINGS)
+        yield from _found(machines, (row for b in batches for row in _rows(b, "lang", "source")))
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -143,9 +149,8 @@ def _dealt(docs: DataFrame, kept: DataFrame) -> DataFrame:
         by_lang = defaultdict(list)
         for lang, term in zip(words.column("lang").to_pylist(), words.column("term").to_pylist(), strict=True):
             by_lang[lang].append(term)
-        machines, none = {lang: Automaton(sorted(found)) for lang, found in by_lang.items()}, Automaton([])
-        found = (((lang, source), machines.get(lang, none).count(text)) for b in texts.to_batches() for lang, source, text in _rows(b, "lang", "source"))
-        return pa.Table.from_batches(_flushed(found, _POSTINGS))
+        machines = {lang: Automaton(sorted(found)) for lang, found in by_lang.items()}
+        return pa.Table.from_batches(_found(machines, (row for b in texts.to_batches() for row in _rows(b, "lang", "source"))))
 
     return placed.groupBy("part").cogroup(local.groupBy("part")).applyInArrow(scan, _SCHEMA)
 
@@ -200,18 +205,15 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     that, for all terms, plus what each source's own terms change against the other's ``z``, which
     needs only how often each share occurs, plus a correction for terms that both have.
     """
-    shape = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    blocks = shape // SOURCES + 1
-    buckets = counts.count() // max(PAIRED, min(shape, SOURCES) ** 2 // 2) + 1
     other = groups.select("lang", F.col("source").alias("item"), F.col("z").alias("other"))
     apart = F.col("source") != F.col("item")
     nothing = groups.join(other, "lang").filter(apart).select("lang", "source", "item", (F.col("size") * F.abs(F.col("z") - F.col("other"))).alias("value"))
     occurring = counts.groupBy("lang", "source", "p", "z").agg(F.count(F.lit(1)).alias("n"))
     changed = F.col("n") * (F.abs(F.col("p") - F.col("other")) - F.abs(F.col("z") - F.col("other")))
     alone = occurring.join(other, "lang").filter(apart).groupBy("lang", "source", "item").agg(F.sum(changed).alias("value"))
-    block = F.pmod(F.xxhash64("source"), F.lit(blocks))
-    meeting = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    dealt = counts.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)), "block": block}).withColumn("with", meeting)
+    dealt = counts.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.col("buckets")), "block": F.pmod(F.xxhash64("source"), F.col("blocks"))})
+    # Blocks of sources meet in pairs, so that a group has two of them at most.
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
     own = F.when(F.col("low") == F.col("high"), 2).when(F.col("block") == F.col("low"), 0).otherwise(1)
     both = dealt.select("lang", "bucket", "low", "high", "source", "term", "p", "z", own.alias("own")).groupBy("lang", "bucket", "low", "high").applyInArrow(_corrections, "lang string, source string, item string, value long")
@@ -234,14 +236,16 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
         kept = common.written(vocabulary(docs, min_documents), "vocabulary")
         found = common.written(postings(docs, kept), "postings")
         sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-        totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+        totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_postings"))
         zero = F.when(F.col("size") > 0, share("0", "total", "size")).otherwise(F.lit(0).cast("long"))
-        named = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "size"])
+        named = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "size", "n_postings"])
         groups = common.written(named.withColumn("z", zero), "groups")
-        of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+        of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.count(F.lit(1)).alias("n_sources"), F.sum("n_postings").alias("n_lang"))
+        # A group of postings gives as many pairs as it may have; groups are no smaller than that.
+        of_lang = of_lang.withColumns({"buckets": F.expr(f"n_lang div greatest({PAIRED}, least(n_sources, {SOURCES}) * least(n_sources, {SOURCES}) div 2) + 1"), "blocks": F.expr(f"n_sources div {SOURCES} + 1")})
         in_lang = F.sum("n").over(Window.partitionBy("lang", "term"))
-        shares = found.withColumn("lang_n", in_lang).join(groups, ["lang", "source"]).join(of_lang, "lang")
-        counts = common.written(shares.select("lang", "source", "term", share("n", "total", "size").alias("p"), share("lang_n", "lang_total", "size").alias("q"), "z"), "shares")
+        shares = found.withColumn("lang_n", in_lang).join(groups, ["lang", "source"]).join(of_lang.drop("n_lang", "n_sources"), "lang")
+        counts = common.written(shares.select("lang", "source", "term", share("n", "total", "size").alias("p"), share("lang_n", "lang_total", "size").alias("q"), "z", "buckets", "blocks"), "shares")
         ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())))
         terms = ranked(counts.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))).filter(F.col("rank") <= top_terms)
         pairs = ranked(_pairs(counts, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value"))
