@@ -371,12 +371,13 @@ def codec(path: str) -> Codec:
     return common.hold(f"bpe {path}", lambda: Codec(path))
 
 
-def _batches(rows: Iterator[tuple[int, bytes | str | None]], schema: pa.Schema, kept: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded size: kept columns beside one computed value for each row."""
-    first, values, total = 0, [], 0
+def _batches(rows: Iterator[tuple[int, tuple]], schema: pa.Schema, kept: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size: kept columns beside the values computed for each row."""
+    first, values, total, n = 0, [], 0, kept.num_columns
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*kept.slice(first, len(values)).columns, pa.array(values, schema.field(len(schema) - 1).type)], schema=schema)
+        made = [pa.array(v, f.type) for v, f in zip(zip(*values, strict=True), list(schema)[n:], strict=True)]
+        return pa.RecordBatch.from_arrays([*kept.slice(first, len(values)).columns, *made], schema=schema)
 
     for size, value in rows:
         if values and total + size > OUT_BYTES:
@@ -388,22 +389,28 @@ def _batches(rows: Iterator[tuple[int, bytes | str | None]], schema: pa.Schema,
         yield batch()
 
 
-def _mapped(df: DataFrame, keep: list[str], source: str, target: str, kind: str, make) -> DataFrame:
-    """``keep`` columns and a column ``target`` computed from ``source`` by what ``make()`` returns."""
-    if target in keep or len(set(keep)) < len(keep):
-        raise ValueError(f"kept columns have to be distinct and not called {target!r}: {', '.join(keep)}")
-    schema = f"{', '.join(f'`{c.replace("`", "``")}` {df.schema[c].dataType.simpleString()}' for c in keep)}{', ' if keep else ''}`{target}` {kind}"
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _mapped(df: DataFrame, keep: list[str], source: str, targets: dict[str, str], make) -> DataFrame:
+    """``keep`` columns and columns ``targets`` (name to type) computed from ``source`` by what ``make()`` returns."""
+    if set(targets) & set(keep) or len(set(keep)) < len(keep):
+        raise ValueError(f"kept columns have to be distinct and not called {' or '.join(map(repr, targets))}: {', '.join(keep)}")
+    fields = {c: df.schema[c].dataType.simpleString() for c in keep} | targets
+    kinds = {"binary": pa.binary(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
             at = batch.num_columns - 1
             kept = batch.select(range(at))
-            out = pa.schema([*kept.schema, (target, pa.binary() if kind == "binary" else pa.string())])
+            out = pa.schema([*kept.schema, *((t, kinds[k]) for t, k in targets.items())])
             values = (one(x.as_py()) for x in batch.column(at))
-            yield from _batches(((len(v or b"") * (1 if kind == "binary" else 4), v) for v in values), out, kept)
+            yield from _batches(((sum(map(len, v)), v) for v in values), out, kept)
 
-    return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in keep], F.col(source).alias("__in")).mapInArrow(run, schema)
+    schema = ", ".join(f"{_name(c)} {kind}" for c, kind in fields.items())
+    return df.select(*[F.col(_name(c)) for c in keep], F.col(source).alias("__in")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, tokenizer_path: str | None = None) -> DataFrame:
@@ -419,9 +426,9 @@ def encode(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
 
     def make():
         encoder = codec(path).encoder
-        return lambda text: encoder.encode(text or "")
+        return lambda text: (encoder.encode(text or ""),)
 
-    return _mapped(docs, ["doc_id"] if keep is None else keep, text_col, "ids", "binary", make)
+    return _mapped(docs, ["doc_id"] if keep is None else keep, text_col, {"ids": "binary"}, make)
 
 
 def decode(tokens: DataFrame, *, ids_col: str = "ids", keep: list[str] | None = None, tokenizer_path: str | None = None) -> DataFrame:
@@ -434,6 +441,17 @@ def decode(tokens: DataFrame, *, ids_col: str = "ids", keep: list[str] | None =
 
     def make():
         decoder = codec(path).decoder
-        return lambda ids: decoder.decode(ids or b"")
+        return lambda ids: (decoder.decode(ids or b""),)
+
+    return _mapped(tokens, ["doc_id"] if keep is None else keep, ids_col, {"decoded": "string"}, make)
+
+
+def round_trip(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, tokenizer_path: str | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` its ids, in one worker: the columns ``keep``, ``ids`` and ``decoded``."""
+    path = tokenizer_path or default_tokenizer()
+
+    def make():
+        both = codec(path)
+        return lambda text: (ids := both.encoder.encode(text or ""), both.decoder.decode(ids))
 
-    return _mapped(tokens, ["doc_id"] if keep is None else keep, ids_col, "decoded", "string", make)
+    return _mapped(docs, ["doc_id"] if keep is None else keep, text_col, {"ids": "binary", "decoded": "string"}, make)

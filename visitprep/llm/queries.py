@@ -82,7 +82,7 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")), keep=["doc_id", "ids"])
+    both = bpe.round_trip(table(spark, sf_dir, "documents"))
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
