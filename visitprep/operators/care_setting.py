@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import diagnostics
 from ..functions.names import clean_names as cleaned, col, resolve, resolve_optional
 
+#: Names that the figures of a pattern show, at most.
+SHOWN = 8
 KEEP = ("Emergency Care", "Inpatient Practice Setting")
 
 
@@ -48,8 +50,8 @@ def filter_care_setting(
     """Correct facility types by id, then by name, then by pattern; keep rows of ``keep_types``.
 
     The pattern applies to names that no earlier step corrected (a name counts as corrected when any
-    of its ids was), and always warns with the names it changed: one small job over facility names.
-    With a pattern, a row without a facility name gets a null type and is dropped.
+    of its ids was).  It always warns; how many visits and facilities (about) it changed, and some of
+    their names, are figures of the run, shown at once with ``diagnostics_mode="eager"``.  With a pattern, a row without a facility name gets a null type and is dropped.
     ``dry_run`` returns instead the number of visits for each facility and pair of types, largest
     first, with ``.would_keep``, and warns of listed names that do not occur.
     Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
@@ -61,14 +63,17 @@ def filter_care_setting(
         raise ValueError("fix_facility_id_vector needs the facility id column, which is not in the data")
     if ident is None:
         diagnostics.inform(verbose, "there is no facility id column; corrections by id outlast changes of names")
-    original, fixed = ".original_facility_type", col(kind)
+    original, fixed, by_name = ".original_facility_type", col(kind), F.lit(False)
     df = df.withColumn(original, col(kind))
-    corrected: list[str] = []
+    figures: dict[str, Column] = {}
     if ident is not None and fix_facility_id_vector is not None:
         by_id = _in(_as_text(df, ident), [_text(v) for v in fix_facility_id_vector])
         fixed = F.when(by_id, F.lit(fix_to)).otherwise(fixed)
         if fix_facility_type_regex is not None:
-            corrected += [r[0] for r in df.filter(by_id).select(col(facility)).distinct().collect() if r[0] is not None]  # at most the listed ids' names
+            # The names of the listed ids.
+            names = df.filter(by_id & col(facility).isNotNull()).select(col(facility).alias("__name")).distinct().withColumn("__named", F.lit(True))
+            df = df.join(F.broadcast(names), col(facility) == F.col("__name"), "left").drop("__name")
+            by_name = F.coalesce(F.col("__named"), F.lit(False))
     if fix_facility_type_vector is not None:
         names = list(fix_facility_type_vector)
         if dry_run and names:
@@ -76,26 +81,30 @@ def filter_care_setting(
             if unmatched := [n for n in names if n not in present]:
                 diagnostics.warn(f"{len(unmatched)} names of fix_facility_type_vector do not occur and have no effect: {', '.join(unmatched)}")
         fixed = F.when(_in(col(facility), names), F.lit(fix_to)).otherwise(fixed)
-        corrected += names
+        by_name = by_name | _in(col(facility), names)
     if fix_facility_type_regex is not None:
-        hit = ~_in(col(facility), corrected) & col(facility).rlike(fix_facility_type_regex)
-        # Facility names; a missing one can't be judged and counts as found.
-        if matched := {r[0] for r in df.filter(hit | hit.isNull()).select(col(facility)).distinct().collect()}:
-            shown = sorted(m for m in matched if m is not None) + ["(no name)"] * (None in matched)
-            diagnostics.warn(f"{len(matched)} facilities match fix_facility_type_regex and become {fix_to!r}: {', '.join(shown)}; listing ids or names is more lasting")
-            fixed = F.when(hit.isNull(), F.lit(None).cast("string")).when(hit, F.lit(fix_to)).otherwise(fixed)
+        hit = ~by_name & col(facility).rlike(fix_facility_type_regex)  # null, and so is the type, without a name
+        fixed = F.when(hit.isNull(), F.lit(None).cast("string")).when(hit, F.lit(fix_to)).otherwise(fixed)
+        found = F.when(hit, col(facility))
+        figures = {"n_pattern_rows": F.count(found), "n_pattern_names": F.approx_count_distinct(found), "pattern_names": F.array_distinct(F.array_compact(F.array(*[F.min(F.when(F.pmod(F.xxhash64(found), F.lit(SHOWN)) == i, found)) for i in range(SHOWN)])))}
+        if diagnostics_mode != "eager":
+            diagnostics.warn(f"facilities whose name matches fix_facility_type_regex become {fix_to!r}; the run's figures say how many and name some; listing ids or names is more lasting")
     df = df.withColumn(kind, fixed)
-    if dry_run:
-        renamed = [col(facility).alias("facility"), *([col(ident).alias("facility_id")] if ident else []), col(original).alias("original_facility_type"), col(kind).alias("corrected_facility_type")]
-        counts = df.groupBy(*renamed).agg(F.count(F.lit(1)).alias("n_visits"))
-        return counts.withColumn(".would_keep", _in(F.col("corrected_facility_type"), keep_types)).orderBy(F.col("n_visits").desc(), F.col("facility").asc_nulls_last(), F.col("original_facility_type").asc_nulls_last())
-    kept = _in(col(kind), keep_types)
 
     def tell(figures: dict) -> None:
-        if figures["n_rows"] and figures["n_kept"] < figures["n_rows"]:
+        if figures.get("n_pattern_rows"):
+            diagnostics.warn(f"{figures['n_pattern_rows']} visits of about {figures['n_pattern_names']} facilities match fix_facility_type_regex and become {fix_to!r}, such as {', '.join(figures['pattern_names'])}; listing ids or names is more lasting")
+        if figures.get("n_rows") and figures["n_kept"] < figures["n_rows"]:
             diagnostics.inform(verbose, f"{figures['n_rows'] - figures['n_kept']} visits of other facility types are left out")
-        if not figures["n_kept"]:
+        if "n_rows" in figures and not figures["n_kept"]:
             diagnostics.warn(f"no rows are left: none has a facility type of {', '.join(keep_types)} (spelling and case count)")
 
-    df = diagnostics.observed(df, "filter_care_setting", diagnostics_mode, {"n_rows": F.count(F.lit(1)), "n_kept": F.count(F.when(kept, 1))}, tell)
-    return df.filter(kept).drop(original)
+    if dry_run:
+        if figures:
+            df = diagnostics.observed(df, "filter_care_setting", diagnostics_mode, figures, tell)
+        renamed = [col(facility).alias("facility"), *([col(ident).alias("facility_id")] if ident else []), col(original).alias("original_facility_type"), col(kind).alias("corrected_facility_type")]
+        counts = df.groupBy(*renamed).agg(F.count(F.lit(1)).alias("n_visits"))
+        return counts.withColumn(".would_keep", _in(F.col("corrected_facility_type"), keep_types)).orderBy(F.col("n_visits").desc(), F.col("facility").asc_nulls_last(), F.col("original_facility_type").asc_nulls_last())
+    kept = _in(col(kind), keep_types)
+    df = diagnostics.observed(df, "filter_care_setting", diagnostics_mode, {"n_rows": F.count(F.lit(1)), "n_kept": F.count(F.when(kept, 1)), **figures}, tell)
+    return df.filter(kept).drop(original, "__named")

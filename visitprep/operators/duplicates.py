@@ -21,9 +21,15 @@ def duplicate_types() -> list[str]:
     return ["+".join(s) if s else UNKNOWN for s in sets]
 
 
-def _percent(part: Column, whole: Column) -> Column:
+def _tenths(part: str, whole: str) -> str:
+    """Tenths of a percent as a whole number, halves to even; exact, so alike in any engine."""
+    q, r = f"(({part}) * 1000) div ({whole})", f"(({part}) * 1000) % ({whole})"
+    return f"case when ({whole}) > 0 then {q} + case when 2 * ({r}) > ({whole}) or (2 * ({r}) = ({whole}) and ({q}) % 2 = 1) then 1 else 0 end end"
+
+
+def _percent(part: str, whole: str) -> Column:
     """Rounded to one digit, halves to even."""
-    return F.when(whole > 0, F.bround(part / whole * 100, 1))
+    return F.expr(f"({_tenths(part, whole)}) / 10")
 
 
 def _footer(report: DuplicateSummary | DuplicateClassification) -> str:
@@ -97,21 +103,36 @@ def summarize_duplicates(data: DataFrame, *, facility_col: str = "HospitalName",
     by_facility = (
         groups.groupBy(col(facility))
         .agg(F.count(F.lit(1)).alias("n_visits"), duplicated.alias("n_duplicated_visit_ids"), excess.alias("n_excess_rows"))
-        .withColumn("pct_duplicated", _percent(F.col("n_duplicated_visit_ids"), F.col("n_visits")))
+        .withColumn("pct_duplicated", _percent("n_duplicated_visit_ids", "n_visits"))
         .filter("n_duplicated_visit_ids > 0")
         .orderBy(F.col("n_excess_rows").desc(), col(facility).asc_nulls_last())
     )
     overall = groups.agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_total_rows"), F.count(F.lit(1)).alias("n_unique_visits"), duplicated.alias("n_duplicated_visit_ids"), excess.alias("n_excess_rows")
-    ).withColumn("pct_duplicated", _percent(F.col("n_duplicated_visit_ids"), F.col("n_unique_visits")))
+    ).withColumn("pct_duplicated", _percent("n_duplicated_visit_ids", "n_unique_visits"))
     return DuplicateSummary(groups.filter(several).select(col(facility), col(visit)), by_facility, overall, facility, visit)
 
 
+def _distinct_counts(rows: DataFrame, fields: dict[str, str | None]) -> DataFrame:
+    """Rows and distinct values, without nulls, by key; a field that is not there counts as one value.
+
+    Of a key with one row it only matters whether a value is there, so the first count carries no
+    values.  Those of keys with several rows, which are few, are counted in a second step, each value
+    once from each task.
+    """
+    named = {n: c for n, c in fields.items() if c}
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(col(c)).cast("int").alias(n) for n, c in named.items()])
+    several = rows.join(sizes.filter("n_rows > 1").select("key"), "key", "left_semi")
+    counted = several.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), *[F.countDistinct(col(c)).cast("int").alias(n) for n, c in named.items()])
+    both = sizes.filter("n_rows = 1").unionByName(counted)
+    return both.withColumns({n: F.lit(1) for n in fields if n not in named})
+
+
 def classify_duplicates(data: DataFrame, *, facility_col: str = "HospitalName", visit_col: str = "Visit_ID", return_format: str = "list", verbose: bool = True, observed_types_only: bool = True) -> DuplicateClassification | DataFrame:
     """Say what changes between the rows of a visit: its date, patient id, patient class.
 
     Needs the columns C_BioSense_ID, Date and C_Unique_Patient_ID; without C_Patient_Class that cause
-    is left out.  Distinct values are counted without nulls, in one shuffle: the sets are small.
+    is left out.  Distinct values are counted without nulls; values of visits with one row never travel.
     ``return_format="tibble"`` gives the table of visits only.  The table by facility has a column for
     each type found, which takes one small job; with ``observed_types_only=False`` it has all eight.
     """
@@ -125,14 +146,8 @@ def classify_duplicates(data: DataFrame, *, facility_col: str = "HospitalName",
     patient_class = resolve_optional(df, "C_Patient_Class")
     if patient_class is None:
         diagnostics.inform(verbose, "there is no c_patient_class column, so changes of patient class are not looked for")
-    distinct = lambda c: F.size(F.collect_set(col(c)))
-    groups = df.groupBy(col(facility), col(visit)).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        distinct(biosense).alias("n_biosense_ids"),
-        distinct(date).alias("n_dates"),
-        distinct(pid).alias("n_pid"),
-        (distinct(patient_class) if patient_class else F.lit(1)).alias("n_patient_classes"),
-    )
+    groups = _distinct_counts(df.select(F.struct(col(facility).alias("facility"), col(visit).alias("visit")).alias("key"), *[col(c) for c in {biosense, date, pid, patient_class} if c]), {"n_biosense_ids": biosense, "n_dates": date, "n_pid": pid, "n_patient_classes": patient_class})
+    groups = groups.select(F.col("key.facility").alias(facility), F.col("key.visit").alias(visit), "n_rows", "n_biosense_ids", "n_dates", "n_pid", "n_patient_classes")
     counts = ("n_dates", "n_pid", "n_patient_classes")
     causes = F.array_join(F.array(*[F.when(F.col(n) > 1, F.lit(c)) for n, c in zip(counts, CAUSES, strict=True)]), "+")
     groups = groups.withColumn("dup_type", F.when(F.col("n_rows") == 1, NONE).when(causes == "", UNKNOWN).otherwise(causes))
@@ -146,7 +161,8 @@ def classify_duplicates(data: DataFrame, *, facility_col: str = "HospitalName",
     wide = duplicated.groupBy(col(facility)).agg(*[F.count(F.when(F.col("dup_type") == t, 1)).alias(t) for t in types], F.count(F.lit(1)).alias("n_duplicated_total"))
     totals = duplicated.groupBy("dup_type").agg(F.count(F.lit(1)).alias("n"))
     whole = duplicated.agg(F.count(F.lit(1)).alias("whole"))
-    overall = totals.crossJoin(F.broadcast(whole)).select("dup_type", "n", F.format_string("%.1f%%", F.bround(F.col("n") / F.col("whole") * 100, 1)).alias("percent"))
+    tenths = f"({_tenths('n', 'whole')})"
+    overall = totals.crossJoin(F.broadcast(whole)).select("dup_type", "n", F.expr(f"concat({tenths} div 10, '.', {tenths} % 10, '%')").alias("percent"))
     return DuplicateClassification(
         duplicated.select(col(facility), col(visit)),
         groups,

@@ -144,7 +144,7 @@ def link_encounters(
     for episodes of several rows.  Episodes are always the two key columns, so ids that read alike
     cannot mix.
 
-    Visits of more than ``heavy_rows`` rows, such as those under a placeholder id, would each be one task.
+    Visits of more than ``heavy_rows`` records, such as those under a placeholder id, would each be one task.
     The 10,000 largest of them are found by a count and take another way: first times by class, the
     row that stays and distinct values to merge are aggregated in two steps, before and after a
     shuffle, and rows of the long format stay where they are.  Any visit beyond those has less than
@@ -190,12 +190,16 @@ def link_encounters(
         if f.get("n_outpatient"):
             diagnostics.warn(f"{f['n_outpatient']} rows are outpatient visits; they are kept and labelled so")
 
+    key = F.struct(col(facility).alias("facility"), col(visit).alias("visit")).alias("__key")
+    pulls = [ed.select(key)]
     if figures:
         ed = diagnostics.observed(ed, "link_encounters", diagnostics_mode, figures, tell)
     ed = with_order(ed, order_key)
     long = (_from_lists(ed, list_col, updates_col) if list_col else _from_flags(ed, keep_flags)).withColumn(SOURCE, F.lit(0))
     if inpatient_admission_data is not None:
-        extra = _inpatient(with_order(cleaned(inpatient_admission_data), order_key), verbose)
+        inpatient = cleaned(inpatient_admission_data)
+        pulls.append(inpatient.select(key))
+        extra = _inpatient(with_order(inpatient, order_key), verbose)
         _check_types(long, extra)
         long = long.unionByName(extra, allowMissingColumns=True)
     time = [F.col(f"`{TIME}`")] if TIME in long.columns else []
@@ -209,13 +213,13 @@ def link_encounters(
         diagnostics.warn("no column gives a time, so classes are in alphabetical order")
     elif diagnostics_mode == "eager" and long.filter(col(TIME).isNotNull()).isEmpty():
         diagnostics.warn("no time could be read, so classes are in alphabetical order")
-    long = long.withColumn("__key", F.struct(col(facility).alias("facility"), col(visit).alias("visit")))
+    long = long.withColumn("__key", key)
     columns = [c for c in long.columns if c not in (ORDER, SOURCE, PLACE, TIME, "__key", "patient_class")]
     fields = {k: v for k, v in fields.items() if k in columns} if return_format == "collapsed" else {}
     parts = [long]
     if heavy_rows is not None:
-        sizes = long.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy_rows)
-        heavy = F.broadcast(sizes.orderBy(F.col("n").desc(), "__key").limit(HEAVY_VISITS).select("__key"))  # HEAVY_VISITS rows at most
+        counted = functools.reduce(DataFrame.union, pulls).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy_rows)
+        heavy = F.broadcast(counted.orderBy(F.col("n").desc(), "__key").limit(HEAVY_VISITS).select("__key"))  # HEAVY_VISITS rows at most
         parts = [long.join(heavy, "__key", "left_anti"), long.join(heavy, "__key")]
     make = (_long, _long_heavy) if return_format == "long" else (_collapsed(columns, fields, merge_delimiter), _collapsed_heavy(columns, fields, merge_delimiter))
     out = [f(part).withColumn(".episode_id", episode_id(F.col("__key.facility"), F.col("__key.visit"))) for f, part in zip(make, parts)]
@@ -287,15 +291,17 @@ def _collapsed(columns: list[str], fields: Mapping[str, str], delimiter: str) ->
     return collapse
 
 
-def _heavy_classes(rows: DataFrame) -> DataFrame:
-    """Sequence and size of each episode: partial counts and first times by class, then one row each."""
-    by_class = rows.groupBy("__key", "patient_class").agg(F.min(col(TIME)).alias("__first"), F.count(F.lit(1)).alias("n"))
-    both = by_class.groupBy("__key").agg(F.collect_list(_timed_class(F.col("__first"))).alias("classes"), F.sum("n").alias(N_ROWS))
-    return both.select("__key", col(N_ROWS), class_sequence(F.col("classes")).alias(SEQUENCE))
+def _heavy(rows: DataFrame, more: dict[str, Column], merged: dict[str, Column]) -> DataFrame:
+    """Sequence and size of each episode: partial counts and first times by class, then one row each.
+
+    ``more`` are figures of rows by class, ``merged`` those of classes by episode."""
+    by_class = rows.groupBy("__key", "patient_class").agg(F.min(col(TIME)).alias("__first"), F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in more.items()])
+    both = by_class.groupBy("__key").agg(F.collect_list(_timed_class(F.col("__first"))).alias("classes"), F.sum("n").alias(N_ROWS), *[v.alias(k) for k, v in merged.items()])
+    return both.withColumn(SEQUENCE, class_sequence(F.col("classes"))).drop("classes")
 
 
 def _long_heavy(rows: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(_heavy_classes(rows)), "__key").withColumn(INDEX, _is_index())  # HEAVY_VISITS rows at most
+    return rows.join(F.broadcast(_heavy(rows, {}, {})), "__key").withColumn(INDEX, _is_index())  # HEAVY_VISITS rows at most
 
 
 def _collapsed_heavy(columns: list[str], fields: Mapping[str, str], delimiter: str) -> Callable[[DataFrame], DataFrame]:
@@ -316,9 +322,10 @@ def _collapsed_heavy(columns: list[str], fields: Mapping[str, str], delimiter: s
 
     def collapse(rows: DataFrame) -> DataFrame:
         row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(every)])
-        # Tasks send on one row for each visit they have.
-        kept = rows.groupBy("__key").agg(F.min_by(row, _stays()).alias("row"), *[F.max(col(c)).alias(n) for c, n in flags.items()])
-        out = kept.join(_heavy_classes(rows), "__key")
+        largest = {n: F.max(col(c)) for c, n in flags.items()}
+        # Tasks send on one row for each visit and class they have.
+        by_class = {"row": F.min_by(row, _stays()), "least": F.min(_stays()), **largest}
+        out = _heavy(rows, by_class, {"row": F.min_by("row", "least"), **{n: F.max(n) for n in largest}})
         if fields:
             lists = []
             for i, (c, how) in enumerate(fields.items()):

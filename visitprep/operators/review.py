@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics
 from ..functions.names import check_choice, clean_names as cleaned, col, resolve, resolve_optional
+from ..functions.quantiles import percentiles
 
 
 def review_facility_ed_visits(
@@ -29,8 +30,8 @@ def review_facility_ed_visits(
     With ``date_col`` the figure is visits for each day on which the facility has any (infinite where
     all its dates are null).  Thresholds are exact, linearly interpolated percentiles, quartile fences
     or both (either flags), over all facilities or within types; only a strictly smaller or larger
-    figure is flagged.  The table of facilities is what is compared, so the thresholds are one row
-    (or one for each type) beside it.
+    figure is flagged.  Thresholds come by histograms that narrow the range of a rank, so no task holds
+    all facilities.
     Names come back in snake case whether ``clean_names`` is set or not; only ``dedupe`` restores them.
     """
     check_choice("method", method, ("percentile", "iqr", "both"))
@@ -50,17 +51,13 @@ def review_facility_ed_visits(
     if date:
         figure = "visits_per_day"
         counts = counts.withColumn(figure, F.when(F.col("n_days") == 0, F.lit(float("inf"))).otherwise(F.col("n_visits") / F.greatest("n_days", F.lit(1))))
-    at = lambda p: F.percentile(F.col(figure), F.lit(p))
-    limits = {}
+    points = {}
     if method != "iqr":
-        limits |= {"__p_low": at(percentile_low), "__p_high": at(percentile_high)}
+        points |= {"__p_low": percentile_low, "__p_high": percentile_high}
     if method != "percentile":
-        limits |= {"__q1": at(0.25), "__q3": at(0.75)}
-    if group_by_type:
-        within = Window.partitionBy(col(kind))
-        counts = counts.withColumns({k: v.over(within) for k, v in limits.items()})
-    else:
-        counts = counts.crossJoin(F.broadcast(counts.agg(*[v.alias(k) for k, v in limits.items()])))  # one row
+        points |= {"__q1": 0.25, "__q3": 0.75}
+    limits = percentiles(counts, figure, points, kind if group_by_type else None)
+    counts = counts.withColumn("group", F.struct(col(kind).alias("g"))).join(limits, "group").drop("group") if group_by_type else counts.crossJoin(F.broadcast(limits.drop("group")))  # one row
     low, high = [], []
     if method != "iqr":
         low.append(F.col("__p_low"))
@@ -76,7 +73,7 @@ def review_facility_ed_visits(
         above = above | (F.col(figure) > limit)
     out = counts.withColumns({".outlier_low": below, ".outlier_high": above}).withColumn(".outlier_flag", col(".outlier_low") | col(".outlier_high"))
     direction = F.when(col(".outlier_low") & col(".outlier_high"), "both").when(col(".outlier_low"), "low").when(col(".outlier_high"), "high")
-    out = out.withColumns({".outlier_direction": direction, ".outlier_method": F.when(col(".outlier_flag"), F.lit(method))}).drop(*limits)
+    out = out.withColumns({".outlier_direction": direction, ".outlier_method": F.when(col(".outlier_flag"), F.lit(method))}).drop(*points)
     ties = [F.col(figure).asc_nulls_last(), col(facility).asc_nulls_last(), col(kind).asc_nulls_last()]
     if return_format == "outliers_only":
         return out.filter(col(".outlier_flag")).orderBy(col(".outlier_direction").desc_nulls_last(), *ties)

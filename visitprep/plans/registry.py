@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import operators as op
-from ..functions.names import col
+from ..functions.names import col, snake
 from ..functions.timestamps import parse_timestamp, parse_updates
 from ..sources import star
 from ..sources.star import CLASS_LIST, FLAGS, MERGED, ORDER_KEY
@@ -32,6 +32,15 @@ def plain(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.removeprefix(".") for c in df.columns])
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """A sorted report with the place of each row in it, so that its order is compared too."""
+    return df.withColumn("__place", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(Window.orderBy("__place"))).drop("__place")
+
+
+def placed(order: str) -> str:
+    return f"(row_number() over (order by {order}))::int rank"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[name] = f
@@ -75,16 +84,25 @@ query("dedupe_most_complete", f"with v as ({base(MERGED)}) select {COLS}, {', '.
 
 GROUPS = f"{V}, g as (select {KEY}, count(*) n_rows from v group by all)"
 query("dup_ids", f"{GROUPS} select {KEY} from g where n_rows > 1")(lambda spark, d: op.summarize_duplicates(star.visits(spark, d)).duplicate_ids)
+
+# Tenths of a percent, halves to even.
+def _tenths(part: str, whole: str) -> str:
+    q, r = f"(({part}) * 1000) // ({whole})", f"(({part}) * 1000) % ({whole})"
+    return f"({q} + case when 2 * ({r}) > ({whole}) or (2 * ({r}) = ({whole}) and ({q}) % 2 = 1) then 1 else 0 end)"
+
+
 query(
     "dup_by_facility",
-    f"""{GROUPS} select hospital_name, count(*) n_visits, count(*) filter (n_rows > 1) n_duplicated_visit_ids,
- cast(sum(case when n_rows > 1 then n_rows - 1 else 0 end) as bigint) n_excess_rows from g group by 1 having count(*) filter (n_rows > 1) > 0""",
-)(lambda spark, d: op.summarize_duplicates(star.visits(spark, d)).by_facility.drop("pct_duplicated"))
+    f"""{GROUPS}, f as (select hospital_name, count(*) n_visits, count(*) filter (n_rows > 1) n_duplicated_visit_ids,
+ cast(sum(case when n_rows > 1 then n_rows - 1 else 0 end) as bigint) n_excess_rows from g group by 1 having count(*) filter (n_rows > 1) > 0)
+ select *, {_tenths('n_duplicated_visit_ids', 'n_visits')} / 10 pct_duplicated, {placed('n_excess_rows desc, hospital_name')} from f""",
+)(lambda spark, d: in_order(op.summarize_duplicates(star.visits(spark, d)).by_facility))
 query(
     "dup_overall",
-    f"""{GROUPS} select cast(sum(n_rows) as bigint) n_total_rows, count(*) n_unique_visits, count(*) filter (n_rows > 1) n_duplicated_visit_ids,
- cast(sum(case when n_rows > 1 then n_rows - 1 else 0 end) as bigint) n_excess_rows from g""",
-)(lambda spark, d: op.summarize_duplicates(star.visits(spark, d)).overall.drop("pct_duplicated"))
+    f"""{GROUPS}, o as (select cast(sum(n_rows) as bigint) n_total_rows, count(*) n_unique_visits, count(*) filter (n_rows > 1) n_duplicated_visit_ids,
+ cast(sum(case when n_rows > 1 then n_rows - 1 else 0 end) as bigint) n_excess_rows from g)
+ select *, {_tenths('n_duplicated_visit_ids', 'n_unique_visits')} / 10 pct_duplicated from o""",
+)(lambda spark, d: op.summarize_duplicates(star.visits(spark, d)).overall)
 
 _causes = "concat_ws('+', case when n_dates > 1 then 'visit_date_change' end, case when n_pid > 1 then 'pid_change' end, case when n_patient_classes > 1 then 'patient_class_change' end)"
 CLASSIFIED = f"""{V}, g as (select {KEY}, count(*) n_rows, count(distinct c_bio_sense_id) n_biosense_ids, count(distinct date) n_dates,
@@ -97,16 +115,21 @@ def _classified(spark: SparkSession, d: str) -> op.DuplicateClassification:
 
 
 def _by_type(spark: SparkSession, d: str) -> DataFrame:
-    return _classified(spark, d).by_facility.withColumnsRenamed(TYPES)
+    return in_order(_classified(spark, d).by_facility.withColumnsRenamed(TYPES))
 
 
 query("dup_groups", f"{CLASSIFIED} select * from t")(lambda spark, d: _classified(spark, d).visit_groups)
 query("dup_classified_ids", f"{CLASSIFIED} select {KEY} from t where dup_type <> 'no_duplication'")(lambda spark, d: _classified(spark, d).duplicate_ids)
 query(
     "dup_by_facility_type",
-    f"{CLASSIFIED} select hospital_name, {', '.join(f'''count(*) filter (dup_type = '{t}') {c}''' for t, c in TYPES.items())}, count(*) n_duplicated_total from t where dup_type <> 'no_duplication' group by 1",
+    f"""{CLASSIFIED}, f as (select hospital_name, {', '.join(f"""count(*) filter (dup_type = '{t}') {c}""" for t, c in TYPES.items())}, count(*) n_duplicated_total from t where dup_type <> 'no_duplication' group by 1)
+ select *, {placed('n_duplicated_total desc, hospital_name')} from f""",
 )(_by_type)
-query("dup_type_overall", f"{CLASSIFIED} select dup_type, count(*) n from t where dup_type <> 'no_duplication' group by 1")(lambda spark, d: _classified(spark, d).overall.drop("percent"))
+query(
+    "dup_type_overall",
+    f"""{CLASSIFIED}, o as (select dup_type, count(*) n, (select count(*) from t where dup_type <> 'no_duplication') as whole from t where dup_type <> 'no_duplication' group by 1)
+ select dup_type, n, concat({_tenths('n', 'whole')} // 10, '.', {_tenths('n', 'whole')} % 10, '%') percent, {placed('n desc, dup_type')} from o""",
+)(lambda spark, d: in_order(_classified(spark, d).overall))
 query("dup_rows_semi", f"{GROUPS} select v.* from v semi join (select * from g where n_rows > 1) using ({KEY})")(lambda spark, d: op.only_duplicated(v := star.visits(spark, d), op.summarize_duplicates(v)))
 query("dup_rows_anti", f"{GROUPS} select v.* from v anti join (select * from g where n_rows > 1) using ({KEY})")(lambda spark, d: op.only_unique(v := star.visits(spark, d), op.summarize_duplicates(v)))
 query("dup_rows_labeled", f"{CLASSIFIED} select v.*, t.* exclude ({KEY}) from v join t using ({KEY})")(lambda spark, d: op.label_rows(v := star.visits(spark, d), op.classify_duplicates(v)))
@@ -136,10 +159,10 @@ for _name, _args, _sql in (
     (
         "care_dry_run",
         {**_every, "dry_run": True},
-        f"{V}, c as (select *, {_ALL} fixed from v) select hospital_name facility, hospital facility_id, facility_type original_facility_type, fixed corrected_facility_type, count(*) n_visits, fixed in {DEFAULT} would_keep from c group by all",
+        f"{V}, c as (select *, {_ALL} fixed from v), n as (select hospital_name facility, hospital facility_id, facility_type original_facility_type, fixed corrected_facility_type, count(*) n_visits, fixed in {DEFAULT} would_keep from c group by all) select *, {placed('n_visits desc, facility, original_facility_type')} from n",
     ),
 ):
-    query(_name, _sql)(lambda spark, d, a=_args: plain(op.filter_care_setting(star.visits(spark, d), **a)))
+    query(_name, _sql)(lambda spark, d, a=_args: (in_order if a.get("dry_run") else lambda df: df)(plain(op.filter_care_setting(star.visits(spark, d), **a))))
 
 # ---- review of facilities ----------------------------------------------------------------------
 
@@ -176,6 +199,13 @@ for _name, _args, _sql in (
     ("review_all", {"method": "both", "return_format": "all"}, _review("both", every=True)),
 ):
     query(_name, _sql)(lambda spark, d, a=_args: plain(op.review_facility_ed_visits(star.visits(spark, d), **a)))
+_figures = "outlier_flag desc, n_visits, hospital_name, facility_type"
+query("review_events_iqr", f"select *, {placed('outlier_direction desc, n_visits, hospital_name, facility_type')} from ({_review('iqr', source=_EVENTS)})")(
+    lambda spark, d: in_order(plain(op.review_facility_ed_visits(star.events(spark, d), method="iqr")))
+)
+query("review_events_ordered", f"select *, {placed(_figures)} from ({_review('both', every=True, by_type=True, source=_EVENTS)})")(
+    lambda spark, d: in_order(plain(op.review_facility_ed_visits(star.events(spark, d), method="both", group_by_type=True, return_format="all")))
+)
 query("review_events_daily", _review("both", daily=True, every=True, source=_EVENTS))(
     lambda spark, d: plain(op.review_facility_ed_visits(star.events(spark, d), method="both", date_col="date", return_format="all"))
 )
@@ -186,7 +216,7 @@ PASSED = ", ".join(c for c in star.COLUMNS)
 MERGE = {"CCDD": "union_ccdd", "CCDDCategory_flat": "union_delimited", "C_Death": "prefer_yes", "Discharge_Disposition": "prefer_admission"}
 _LABELS = "case code when 'E' then 'ED' when 'I' then 'Inpatient' when 'D' then 'Direct Admit' when 'O' then 'Outpatient' else code end"
 _FLAGGED = " union all ".join(f"select * exclude ({', '.join(FLAGS)}), {i} place, '{label}' patient_class from {{}} where {c} = 1" for i, (c, label) in enumerate(zip(FLAGS, ("ED", "Admitted", "Outpatient"), strict=True)))
-_IN_A_PULL = "l_returnflag = 'R' or (l_returnflag = 'A' and l_partkey % 10 = 0)"
+_IN_A_PULL = "l_returnflag in ('R', 'A')"
 
 
 def _pulls(spark: SparkSession, d: str, *more: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -228,6 +258,19 @@ query("link_collapsed_flags", f"{_long(_FLAGS_SQL, False)}, {_RANKED.format('')}
     lambda spark, d: plain(op.link_encounters(star.visits(spark, d, FLAGS), order_key=ORDER_KEY, merge_fields={}))
 )
 
+# Sorted by episode id: rows that come after a row of a larger id, within a part of the result or between parts.
+def _sorted_episodes(spark: SparkSession, d: str) -> DataFrame:
+    rows = plain(op.link_encounters(*_pulls(spark, d), merge_fields={}, order_key=ORDER_KEY, sort=True))
+    place = F.monotonically_increasing_id()
+    rows = rows.select(F.spark_partition_id().alias("part"), place.alias("place"), "episode_id")
+    before = F.lag("episode_id").over(Window.partitionBy("part").orderBy("place"))
+    parts = rows.withColumn("before", before).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("before") > F.col("episode_id"), 1)).alias("bad"), F.min("episode_id").alias("low"), F.max("episode_id").alias("high"))
+    ends = parts.withColumn("last", F.lag("high").over(Window.orderBy("part")))  # a row for each part
+    return ends.agg(F.sum("n").alias("n_rows"), (F.sum("bad") + F.count(F.when(F.col("last") > F.col("low"), 1))).alias("n_out_of_order"), F.min("low").alias("first_id"), F.max("high").alias("last_id"))
+
+
+query("link_collapsed_sorted", f"{_long(_PULLS_SQL, True)} select count(distinct (hospital_name, visit_id)) n_rows, 0::bigint n_out_of_order, min(episode_id) first_id, max(episode_id) last_id from m")(_sorted_episodes)
+
 # Lists of an episode's values in row order, and unions of their parts in order of appearance.
 _BY = f"order by source, {ORDER}, place"
 
@@ -288,14 +331,22 @@ def _timestamps(spark: SparkSession, d: str) -> DataFrame:
 query("parse_timestamps", f"select l_orderkey, l_linenumber, {', '.join(f'{e[2]} {k}' for k, e in _FORMS.items())} from lineitem")(_timestamps)
 
 
+# Update lists of an order from its lines by part: positions with gaps, repeats and out of range, blanks, segments
+# without a time and free text.
+_AT = "case when l_partkey % 7 = 0 then 9 else l_linenumber % 5 end"
+_CLEAR = "l_partkey % 6 > 0 and l_partkey % 11 > 0"
+
+
 def _updates(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.read.parquet(f"{d}/lineitem.parquet")
-    text = F.concat(F.lit("{2};b"), F.col("l_linenumber"), F.lit(";| {1} ; a ;|{9};x;|junk|{2};c;"))
-    got = parse_updates(F.when(F.col("l_linenumber") % 3 > 0, text), F.lit(3))
-    return lines.select("l_orderkey", "l_linenumber", F.concat_ws(",", F.transform(got, lambda x: F.coalesce(x, F.lit("-")))).alias("times"))
+    segment = f"case when l_partkey % 6 = 0 then 'free text' when l_partkey % 11 = 0 then concat('{{', {_AT}, '}};') when l_partkey % 2 = 0 then concat(' {{', {_AT}, '}} ; t', l_partkey % 100, ' ;') else concat('{{', {_AT}, '}};t', l_partkey % 100, ';') end"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.expr("struct(l_partkey, l_linenumber, l_suppkey)").alias("at"), F.expr(segment).alias("segment"))
+    lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("at", "segment"))).alias("rows"))
+    got = parse_updates(F.array_join(F.transform("rows", lambda r: r["segment"]), "|"), F.lit(4))
+    return lists.select("l_orderkey", F.concat_ws(",", F.transform(got, lambda x: F.coalesce(x, F.lit("-")))).alias("times"))
 
 
-query("parse_class_updates", "select l_orderkey, l_linenumber, case when l_linenumber % 3 > 0 then 'a,c,-' else '-,-,-' end times from lineitem")(_updates)
+_time_at = ", ".join(f"coalesce(arg_max(concat('t', l_partkey % 100), (l_partkey, l_linenumber, l_suppkey)) filter ({_CLEAR} and {_AT} = {i}), '-')" for i in range(1, 5))
+query("parse_class_updates", f"select l_orderkey, concat_ws(',', {_time_at}) times from lineitem group by l_orderkey")(_updates)
 
 # ---- geography ---------------------------------------------------------------------------------
 
@@ -332,6 +383,33 @@ query("pipeline_region_counts", f"{_PIPELINE} select region, count(*) n_visits,
 )
 
 
+# ---- the two datasets, as whole tables -----------------------------------------------------------
+
+_RAW = f"with v as ({star.select_sql(star.RAW)})"
+_RAW_ORDER = ["Arrived_Date_Time", "C_Unique_Patient_ID", "C_BioSense_ID"]
+query("dataset_raw", f"{_RAW} select * from v")(star.raw_visits)
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return plain(
+        star.raw_visits(spark, d)
+        .transform(op.dedupe, keep="last", order_by="Arrived_Date_Time", order_key=_RAW_ORDER)
+        .transform(op.filter_care_setting, fix_facility_type_vector=NAMES)
+        .transform(op.assign_treating_geography, preserve_original_geographies=True)
+    )
+
+
+_snake = ", ".join(f"{c} as {snake(c)}" for c in star.RAW)
+_LAST = "arrived_date_time desc, c_unique_patient_id desc, c_bio_sense_id desc"
+query(
+    "dataset_cleaned",
+    f"""with r as ({star.select_sql(star.RAW)}), v as (select {_snake} from r),
+ o as (select * exclude (rn) from (select *, row_number() over (partition by {KEY} order by {_LAST}) rn from v) where rn = 1),
+ c as (select * replace (case when {_NAMES} then {_FIXED} else facility_type end as facility_type) from o)
+ select * replace ({_BOTH}), {_OUTSIDE} out_of_state, {_WAS.format(_OUTSIDE)} from c where facility_type in {DEFAULT}""",
+)(_cleaned)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -40,6 +40,27 @@ MERGED = {
     "c_death": "case when l_quantity > 40 then 'Yes' when l_quantity < 5 then null else 'No' end",
     "discharge_disposition": "case when l_linenumber % 4 = 0 then null when l_linenumber % 4 = 1 then '' else concat('DISP_', cast(l_linenumber as string)) end",
 }
+#: The 18 columns of a raw pull, in order, by the names they have there.
+RAW = {
+    "HospitalName": COLUMNS["hospital_name"],
+    "Hospital": "cast(s_suppkey as int)",
+    "FacilityType": COLUMNS["facility_type"],
+    "HospitalRegion": COLUMNS["hospital_region"],
+    "HospitalZip": COLUMNS["hospital_zip"],
+    "Visit_ID": COLUMNS["visit_id"],
+    "C_BioSense_ID": COLUMNS["c_bio_sense_id"],
+    "C_Unique_Patient_ID": "concat('P', cast(l_partkey as string))",
+    "Date": "cast(l_shipdate as date)",
+    "C_Visit_Date_Time": "l_shipdate",
+    "Arrived_Date_Time": "l_shipdate + make_interval(0, 0, 0, 0, l_linenumber)",
+    "HasBeenE": FLAGS["has_been_e"],
+    "HasBeenAdmitted": FLAGS["has_been_admitted"],
+    "C_Patient_Class": COLUMNS["c_patient_class"],
+    "Region": COLUMNS["region"],
+    "ZipCode": COLUMNS["zip_code"],
+    "Sex": "case when o_custkey % 2 = 0 then 'F' else 'M' end",
+    "C_Patient_Age": "cast(o_custkey % 95 as int)",
+}
 FROM = """lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey
  join nation sn on s_nationkey = sn.n_nationkey join customer on o_custkey = c_custkey join nation cn on c_nationkey = cn.n_nationkey"""
 
@@ -49,12 +70,10 @@ def select_sql(columns: dict[str, str], where: str = "", dialect: str = "duckdb"
     listed = ", ".join(f"{e} as {c}" for c, e in columns.items())
     tables = FROM + (" join part on l_partkey = p_partkey" if any("p_" in e.replace("s_suppkey", "") for e in columns.values()) else "")
     sql = f"select {listed} from {tables}" + (f" where {where}" if where else "")
-    return sql if dialect == "spark" else sql.replace("as string)", "as varchar)")
+    return sql if dialect == "spark" else sql.replace("as string)", "as varchar)").replace("make_interval(0, 0, 0, 0, l_linenumber)", "to_hours(cast(l_linenumber as int))")
 
 
-def visits(spark: SparkSession, sf_dir: str, *more: dict[str, str], where: str = "") -> DataFrame:
-    """The visit rows of the tables in ``sf_dir``; ``more`` adds columns."""
-    columns = {k: v for part in (COLUMNS, *more) for k, v in part.items()}
+def _selected(spark: SparkSession, sf_dir: str, columns: dict[str, str], where: str = "") -> DataFrame:
     sql = select_sql(columns, where, "spark")
     names = ("lineitem", "orders", "supplier", "nation", "customer", "part")
     tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names if name != "part" or " part " in sql}
@@ -64,6 +83,16 @@ def visits(spark: SparkSession, sf_dir: str, *more: dict[str, str], where: str =
     return spark.sql(sql, **tables)
 
 
+def visits(spark: SparkSession, sf_dir: str, *more: dict[str, str], where: str = "") -> DataFrame:
+    """The visit rows of the tables in ``sf_dir``; ``more`` adds columns."""
+    return _selected(spark, sf_dir, {k: v for part in (COLUMNS, *more) for k, v in part.items()}, where)
+
+
+def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables as a raw pull, with the names and the order of ``schema.VISITS``."""
+    return _selected(spark, sf_dir, RAW)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as visits: a facility for each user, one facility type, and event days."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
