@@ -50,3 +50,14 @@ def test_names_are_snake_case_either_way(spark):
     df = spark.createDataFrame(ROWS, COLS)
     for assign in (assign_treating_geography, assign_facility_geography):
         assert assign(df, clean_names=False).columns == assign(df).columns
+
+
+def test_silence_is_for_information_only(spark, caplog):
+    df = spark.createDataFrame(ROWS, COLS)
+    with caplog.at_level("INFO", logger="visitprep"):
+        with pytest.warns(UserWarning, match="unchanged"):
+            assign_treating_geography(df.drop("HospitalZip", "HospitalRegion"), verbose=False)
+        assign_treating_geography(df.drop("HospitalZip"), verbose=False)
+        assert not caplog.records
+        assign_treating_geography(df.drop("HospitalZip"))
+    assert caplog.records

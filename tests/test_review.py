@@ -49,3 +49,24 @@ def test_arguments(spark):
 def test_names_are_snake_case_either_way(spark):
     df = frame(spark, [20, 20, 20, 20, 1])
     assert review(df, method="iqr", clean_names=False).columns == review(df, method="iqr").columns
+
+
+def test_silence_is_for_information_only(spark, caplog):
+    df = frame(spark, [20, 20, 1])
+    with caplog.at_level("INFO", logger="visitprep"):
+        with pytest.warns(UserWarning, match="no date column"):
+            review(df, date_col="Day", verbose=False)
+        assert not caplog.records
+        review(df)
+    assert len(caplog.records) == 3
+
+
+def test_inform_and_warn(caplog):
+    from visitprep.functions import diagnostics
+
+    with caplog.at_level("INFO", logger="visitprep"):
+        diagnostics.inform(False, "unsaid")
+        diagnostics.inform(True, "said")
+        with pytest.warns(UserWarning, match="always"):
+            diagnostics.warn("always")
+    assert [r.message for r in caplog.records] == ["said"]
