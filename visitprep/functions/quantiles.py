@@ -32,14 +32,18 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float], group: str
     place = {name: (F.col("size") - 1) * F.lit(float(p)) for name, p in points.items()}
     ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil)]))
     wanted = sizes.select("group", "size", F.explode(ranks).alias("rank"), "low", infinite.alias("high"), "top", F.lit(0).cast("long").alias("before"))
+
+    def near(wanted: DataFrame) -> DataFrame:
+        # Without groups, two ranks for each point at most.
+        pairs = values.join(wanted, "group") if group else values.crossJoin(F.broadcast(wanted.drop("group")))
+        return pairs.filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+
     for _ in range(rounds):
-        near = values.join(wanted, "group").filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
         # Each step of the formula keeps the order of values, whatever it rounds.
         bucket = F.when(F.col("v") == infinite, buckets).otherwise(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("top") - F.col("low")), F.lit(0.0)) * (buckets - 1)))
-        counts = near.groupBy("group", "size", "rank", "before", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        counts = near(wanted).groupBy("group", "size", "rank", "before", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         wanted = _reached(counts, "bucket").select("group", "size", "rank", "low", "high", F.col("high").alias("top"), "before")
-    near = values.join(wanted, "group").filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
-    found = _reached(near.groupBy("group", "size", "rank", "before", "v").agg(F.count(F.lit(1)).alias("n")), "v")
+    found = _reached(near(wanted).groupBy("group", "size", "rank", "before", "v").agg(F.count(F.lit(1)).alias("n")), "v")
     at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("v")))
     ends = found.groupBy("group", "size").agg(*[at(f(p).cast("long")).alias(f"{name} {end}") for name, p in place.items() for end, f in (("low", F.floor), ("high", F.ceil))])
 
