@@ -7,7 +7,7 @@ import ctypes
 import gc
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
 import numpy as np
@@ -150,6 +150,21 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def kept_columns(keep: list[str], made: Iterable[str]) -> list[str]:
+    """``keep``, unless it repeats a name or has one of a column that the operator makes."""
+    if clash := sorted({c for c in keep if keep.count(c) > 1} | (set(keep) & set(made))):
+        raise ValueError(f"kept columns clash with each other or with columns made here: {', '.join(clash)}; rename them first")
+    return keep
+
+
+def free_name(stem: str, names: Iterable[str]) -> str:
+    """``stem`` with as many underscores as make it differ from all ``names``, in whatever case."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 

@@ -66,9 +66,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     in the queue says, which adds no words.  A null source is a source of its own, last in order.
     Rows with equal ids and texts are separate documents, at neighbouring places.  A mix without any
     words takes nothing; an empty table gives no rows.  The order depends on ids, texts and ``seed``
-    alone, so reruns agree.
+    alone, so reruns agree.  A kept column that is called like a returned one, or kept twice, raises;
+    other names are free.
     """
-    kept = keep or [id_col]
+    kept = common.kept_columns(keep or [id_col], ("size", "source_size", "target", "copies", "taken"))
     buckets = max(1024, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.struct(*[F.col(c) for c in kept]).alias("row"),

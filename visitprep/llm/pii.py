@@ -351,22 +351,23 @@ def redacted(text: str, spans: list[Span]) -> str:
 # ---- columns -----------------------------------------------------------------------------------
 
 
-def _mapped(docs: DataFrame, columns: list[str], schema: str, kinds: list[pa.DataType], row) -> DataFrame:
+def _mapped(docs: DataFrame, columns: list[str], made: list[str], types: list[str], kinds: list[pa.DataType], row) -> DataFrame:
+    """``columns`` and columns ``made`` from each text."""
+    hidden = common.free_name("__text", [*columns, *docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(trained().w)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
-            texts, own = common.strings(batch, "__text"), []
+            texts, own = common.strings(batch, hidden), []
             for a, b in common.steps([len(t) for t in texts], 4 * common.STEP_BYTES):
                 own += [row(t, *s) for t, s in zip(texts[a:b], find(tagger, texts[a:b]), strict=True)]
-            made = list(zip(*own, strict=True)) or [[]] * len(kinds)
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=[*names, *[f"made{i}" for i in range(len(kinds))]])
+            values = list(zip(*own, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, k) for x, k in zip(values, kinds, strict=True)]], names=[*batch.schema.names[:-1], *made])
 
-    given = docs.select(*[F.col(c) for c in columns], F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("__text").schema)
-    return given.mapInArrow(run, f"{fields}, {schema}")
+    given = docs.select(*[F.col(c) for c in columns], F.col("text").alias(hidden))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop(hidden).schema]
+    return given.mapInArrow(run, ", ".join([*fields, *[f"`{n}` {t}" for n, t in zip(made, types, strict=True)]]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -380,11 +381,16 @@ def scan(docs: DataFrame) -> DataFrame:
         return (*[sum(s[2] == k for s in base) for k in KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
 
     kinds = [pa.int64()] * 4 + [pa.string()] * 2
-    out = _mapped(docs, ["doc_id"], "made0 long, made1 long, made2 long, made3 long, made4 string, made5 string", kinds, row)
-    return out.toDF("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
+    return _mapped(docs, ["doc_id"], [*[f"n_{k}" for k in KINDS], "base_sha256", "spans"], ["long"] * 4 + ["string"] * 2, kinds, row)
 
 
 def redact(docs: DataFrame, *, keep: list[str]) -> DataFrame:
-    """The columns of ``keep`` with every span in ``text`` replaced; a null text stays null."""
-    out = _mapped(docs, keep, "made0 string", [pa.string()], lambda text, base, spans: (redacted(text, spans),))
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("made0"))).drop("made0")
+    """The columns of ``keep`` with every span in ``text`` replaced; a null text stays null.
+
+    Repeated rows are replaced each; an empty table gives no rows.  ``keep`` has ``text`` and no name
+    twice, or it raises; other names are free."""
+    if "text" not in common.kept_columns(keep, ()):
+        raise ValueError("keep has to have the column text, which is what is replaced")
+    new = common.free_name("__new", [*keep, *docs.columns])
+    out = _mapped(docs, keep, [new], ["string"], [pa.string()], lambda text, base, spans: (redacted(text, spans),))
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(new))).drop(new)

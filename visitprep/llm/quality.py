@@ -196,26 +196,29 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """Score and decision for every document; the columns of ``keep`` (default: the id) come along.
 
     Only the text enters the score.  Null and empty texts get the score of a document without
-    features, the model's prior; repeated rows get equal scores; an empty table gives no rows.
+    features, the model's prior; repeated rows get equal scores; an empty table gives no rows.  A kept
+    column called ``held_out``, ``score`` or ``predicted``, or kept twice, raises; other names are free.
     """
-    kept = keep or [id_col]
+    kept = common.kept_columns(keep or [id_col], ("held_out", "score", "predicted"))
+    hidden = common.free_name("__text", [*kept, *docs.columns])
+    ident = common.free_name("__id", [*kept, *docs.columns])
     weights, prior = model.weights(), float(model.prior[1] - model.prior[0])
     version = f"{zlib.crc32(weights.tobytes())}-{prior}"
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size: one number a bucket
-    given = docs.select(*[F.col(c) for c in kept], F.col(text_col).alias("__text"))
-    fields = given.drop("__text").schema
+    given = docs.select(*[F.col(c) for c in kept], F.col(id_col).cast("string").alias(ident), F.col(text_col).alias(hidden))
+    fields = given.drop(hidden, ident).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", held_out boolean, score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = common.hold(f"scorer {version}", lambda: Scorer(shared.value, prior))
         for batch in batches:
-            texts = common.utf8(batch, "__text")
-            ids = [zlib.crc32(str(x).encode()) % 5 == 0 if x is not None else None for x in common.column(batch, id_col).to_pylist()]
+            texts = common.utf8(batch, hidden)
+            ids = [zlib.crc32(x.encode()) % 5 == 0 if x is not None else None for x in common.column(batch, ident).to_pylist()]
             parts = [scorer.score(texts[a:b]) for a, b in common.steps([len(t) for t in texts], 4 * common.STEP_BYTES)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ids, pa.bool_()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                names=[*batch.schema.names[:-1], "held_out", "score", "predicted"],
+                [*batch.columns[:-2], pa.array(ids, pa.bool_()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
+                names=[*batch.schema.names[:-2], "held_out", "score", "predicted"],
             )
 
     return given.mapInArrow(run, schema)
