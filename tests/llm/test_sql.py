@@ -57,3 +57,20 @@ def test_linked_embeddings(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("embedding", F.expr("cast(embedding as array<float>)")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = compared(spark, str(tmp_path), "op9_lattice_embeddings")
     assert sum(r[1] for r in got) > 20
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(sql.BASE))
+def test_columns_without_a_model(spark, tmp_path, name):
+    """On the tables and on odd texts: numbers that fail, phrases at the ends, null sources."""
+    duckdb = pytest.importorskip("duckdb")
+    odd = ["4111 1111-1111 1111 and 4111 1111 1111 1112", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8", "+49 (30) 1234-5678, +1 2", "a@b.c, x.y+z@q-r.s.t @ a@b", "CC BY general public license all rights reserved", "all rights reserved. cc-by cc BY", None, ""]
+    more = spark.createDataFrame([(10**6 + i, t, None if i % 3 else "odd") for i, t in enumerate(odd)], "doc_id long, text string, source string")
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    docs.select("doc_id", "text", "source").union(more).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = con.execute(sql.BASE[name])
+    names = [c[0] for c in cursor.description]
+    got = queries.queries()[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cursor.fetchall()))

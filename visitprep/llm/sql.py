@@ -178,5 +178,42 @@ from a5 join c5 using (cluster)
 """
 
 
+#: Columns of op1, op7 and op8 that depend on no model and no order of taking, for tests.
+BASE = {
+    "op1_pii": r"""
+with t as (
+    select doc_id, coalesce(text, '') as text from documents),
+found as (
+    select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as emails,
+           regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') as ips,
+           list_transform(regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')) as cards,
+           list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')) as phones
+    from t)
+select doc_id, len(emails)::bigint as n_email,
+       len(list_filter(ips, lambda m: len(list_filter(string_split(m, '.'), lambda p: coalesce(try_cast(p as hugeint), 256) > 255)) = 0))::bigint as n_ip,
+       len(list_filter(cards, lambda m: len(m) between 14 and 19 and
+           list_sum(list_transform(range(len(m)), lambda i: case when i % 2 = 0 then substr(m, (len(m) - i)::int, 1)::int
+                                                                 else (2 * substr(m, (len(m) - i)::int, 1)::int) // 10 + (2 * substr(m, (len(m) - i)::int, 1)::int) % 10 end)) % 10 = 0))::bigint as n_card,
+       len(list_filter(phones, lambda m: len(m) between 10 and 15))::bigint as n_phone
+from found""",
+    "op7_mixing": f"""
+with sizes as (
+    select doc_id, coalesce(source, '') as key, source is null as none, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size from documents)
+select doc_id, size, (sum(size) over (partition by key, none))::bigint as source_size from sizes""",
+    "op8_license_scans": r"""
+with words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+places as (
+    select doc_id, w, list_filter(range(len(w)), lambda i: w[i + 1:i + 2] = ['cc', 'by']) as cc,
+           list_filter(range(len(w)), lambda i: w[i + 1:i + 3] = ['general', 'public', 'license']) as gpl,
+           list_filter(range(len(w)), lambda i: w[i + 1:i + 3] = ['all', 'rights', 'reserved']) as reserved from words)
+select doc_id, len(w)::bigint as n_words, (len(cc) + len(gpl) + len(reserved))::bigint as n_base,
+       list_min(cc || gpl || reserved)::bigint as first_word, list_max(cc || gpl || reserved)::bigint as last_word,
+       concat_ws(',', case when len(cc) > 0 then 'cc-by' end, case when len(gpl) > 0 then 'gpl' end, case when len(reserved) > 0 then 'reserved' end) as base_labels
+from places""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op5_suffix_array": OP5, "op6_ngram_jaccard": OP6, "op9_lattice_embeddings": OP9, "op10_suffix_trees": OP10, "op11_divergence": OP11, "op13_ball_kmeans": OP13}
