@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import hashlib
 import uuid
@@ -244,6 +245,24 @@ def release(spark: SparkSession) -> None:
 def trim() -> None:
     """Give freed memory of this process back to the system, where its C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give is not None:
         give(0)
+
+
+#: Bytes of a group's table from which a worker gives memory back when it is done with it.
+LARGE_GROUP = 4 << 20
+
+
+def trimmed(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``f`` for groups, whose temporary memory does not stay with the worker while it waits for others."""
+
+    @functools.wraps(f)
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        if table.nbytes >= LARGE_GROUP:
+            trim()
+        return out
+
+    return run

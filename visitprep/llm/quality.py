@@ -220,5 +220,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 [*batch.columns[:-2], pa.array(ids, pa.bool_()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 names=[*batch.schema.names[:-2], "held_out", "score", "predicted"],
             )
+        common.trim()
 
     return given.mapInArrow(run, schema)
