@@ -31,3 +31,12 @@ def test_timestamps_match_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_timestamp(F.col("t")).alias("at"))
     assert {r.t: r["at"] for r in df.collect()} == texts
     assert "regexp_extract" not in plan(df)
+
+
+def test_classification_starts_no_job_until_asked(spark):
+    df = spark.createDataFrame([("F", "1", "b", "d", "p"), ("F", "1", "b", "d", "q")], "HospitalName string, Visit_ID string, C_BioSense_ID string, Date string, C_Unique_Patient_ID string")
+    spark.sparkContext.setJobGroup("classify", "")
+    report = op.classify_duplicates(df, verbose=False)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("classify")
+    spark.sparkContext.setJobGroup("other", "")
+    assert report.by_facility.columns == ["hospital_name", "pid_change", "n_duplicated_total"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,16 +68,23 @@ class DuplicateSummary:
 
 @dataclass(frozen=True)
 class DuplicateClassification:
-    """Four lazy tables: duplicated pairs, all visits with their type, counts by facility and in all."""
+    """Four lazy tables: duplicated pairs, all visits with their type, counts by facility and in all.
+
+    The table by facility is made when it is first asked for, as its columns may take a job.
+    """
 
     duplicate_ids: DataFrame
     visit_groups: DataFrame
-    by_facility: DataFrame
+    make_by_facility: Callable[[], DataFrame]
     overall: DataFrame
     facility_col: str
     visit_col: str
     has_patient_class: bool
 
+    @functools.cached_property
+    def by_facility(self) -> DataFrame:
+        return self.make_by_facility()
+
     def text(self) -> str:
         lines = ["Duplicate visits by type"]
         if not self.has_patient_class:
@@ -134,7 +143,7 @@ def classify_duplicates(data: DataFrame, *, facility_col: str = "HospitalName",
     Needs the columns C_BioSense_ID, Date and C_Unique_Patient_ID; without C_Patient_Class that cause
     is left out.  Distinct values are counted without nulls; values of visits with one row never travel.
     ``return_format="tibble"`` gives the table of visits only.  The table by facility has a column for
-    each type found, which takes one small job; with ``observed_types_only=False`` it has all eight.
+    each type found, which takes one job when that table is asked for; with ``observed_types_only=False`` it has all eight.
     """
     check_choice("return_format", return_format, ("list", "tibble"))
     df = clean_names(data)
@@ -154,11 +163,15 @@ def classify_duplicates(data: DataFrame, *, facility_col: str = "HospitalName",
     if return_format == "tibble":
         return groups
     duplicated = groups.filter(F.col("dup_type") != NONE)
-    types = duplicate_types()
-    if observed_types_only:
-        found = {r.dup_type for r in duplicated.select("dup_type").distinct().collect()}  # eight values at most
-        types = [t for t in types if t in found]
-    wide = duplicated.groupBy(col(facility)).agg(*[F.count(F.when(F.col("dup_type") == t, 1)).alias(t) for t in types], F.count(F.lit(1)).alias("n_duplicated_total"))
+
+    def by_facility() -> DataFrame:
+        types = duplicate_types()
+        if observed_types_only:
+            found = {r.dup_type for r in duplicated.select("dup_type").distinct().collect()}  # eight values at most
+            types = [t for t in types if t in found]
+        wide = duplicated.groupBy(col(facility)).agg(*[F.count(F.when(F.col("dup_type") == t, 1)).alias(t) for t in types], F.count(F.lit(1)).alias("n_duplicated_total"))
+        return wide.orderBy(F.col("n_duplicated_total").desc(), col(facility).asc_nulls_last())
+
     totals = duplicated.groupBy("dup_type").agg(F.count(F.lit(1)).alias("n"))
     whole = duplicated.agg(F.count(F.lit(1)).alias("whole"))
     tenths = f"({_tenths('n', 'whole')})"
@@ -166,7 +179,7 @@ def classify_duplicates(data: DataFrame, *, facility_col: str = "HospitalName",
     return DuplicateClassification(
         duplicated.select(col(facility), col(visit)),
         groups,
-        wide.orderBy(F.col("n_duplicated_total").desc(), col(facility).asc_nulls_last()),
+        by_facility,
         overall.orderBy(F.col("n").desc(), "dup_type"),
         facility,
         visit,
