@@ -40,3 +40,11 @@ def test_classification_starts_no_job_until_asked(spark):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("classify")
     spark.sparkContext.setJobGroup("other", "")
     assert report.by_facility.columns == ["hospital_name", "pid_change", "n_duplicated_total"]
+
+
+def test_deduplication_carries_no_second_order(spark):
+    df = spark.createDataFrame([("F", "1", 2), ("F", "1", None), ("F", "1", 1)], "HospitalName string, Visit_ID string, k int")
+    out = op.dedupe(df, keep="first", order_key=["k"])
+    assert "__order" not in plan(out)
+    assert [r.k for r in out.collect()] == [1]
+    assert [r.k for r in op.dedupe(df, keep="last", order_key=["k"]).collect()] == [None]
