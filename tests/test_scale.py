@@ -42,6 +42,21 @@ def test_classification_starts_no_job_until_asked(spark):
     assert report.by_facility.columns == ["hospital_name", "pid_change", "n_duplicated_total"]
 
 
+def test_linkage_moves_records_before_their_classes(spark):
+    df = spark.createDataFrame([("F", "1", 1, 1, 5), ("F", "1", 1, 0, 4)], "HospitalName string, Visit_ID string, HasBeenE int, HasBeenAdmitted int, k int")
+    out = op.link_encounters(df, return_format="long", order_key=["k"], verbose=False)
+    lines = plan(out).splitlines()
+    opened = next(i for i, s in enumerate(lines) if "Generate" in s)
+    assert any("RepartitionByExpression" in s for s in lines[opened:])  # below the explode
+    assert not any("LeftAnti" in s for s in lines)  # which is pushed below the caller's joins
+    assert sorted(r.patient_class for r in out.collect()) == ["Admitted", "ED", "ED"]
+
+
+def test_orders_meet_customers_first():
+    assert "join (orders join customer" in star.select_sql(star.COLUMNS, dialect="spark")
+    assert star.FROM in star.select_sql(star.COLUMNS)
+
+
 def test_deduplication_carries_no_second_order(spark):
     df = spark.createDataFrame([("F", "1", 2), ("F", "1", None), ("F", "1", 1)], "HospitalName string, Visit_ID string, k int")
     out = op.dedupe(df, keep="first", order_key=["k"])
