@@ -101,6 +101,35 @@ def test_jaccard_of_a_crowded_family_in_two_bands(spark, monkeypatch):
     check_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
+def test_jaccard_sends_a_text_of_a_cluster_to_one_cell(spark, monkeypatch):
+    """Families of alike sets, of which some are similar: each fits one cell, though all are more than a block."""
+    for name, value in {"PAIRED": 1, "BLOCK": 16, "SHARED": 4, "COUNTED": 64}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "_one_partner", lambda led, of=jaccard._one_partner: of(led).filter("false"))
+    cells = []
+    monkeypatch.setattr(jaccard, "_verified", lambda texts, of, run=jaccard._verified: cells.append(of.collect()) or run(texts, of))
+    rng = random.Random(3)
+    rows = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(90_000)}" for _ in range(200)]
+        for _ in range(12):
+            words = base[:]
+            for _ in range(rng.randrange(2, 4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(90_000)}"
+            rows.append((len(rows) + 1, " ".join(words)))
+    check_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    places = [r.doc_id for r in cells[1]]
+    assert len(places) > 16 and len(places) == len(set(places))
+
+
+def test_documents_without_a_partner_leave_large_groups(spark):
+    """A set that needs few stays with those that share them; one far from what it and its neighbours need goes."""
+    pack = lambda sigs: [np.array(sigs, "<u8").tobytes()]
+    rows = [(1, 100, 2, 2, pack([1, 2])), (2, 100, 2, 9, pack([1, 2])), (3, 100, 1, 9, pack([1])), (4, 100, 2, 9, pack([3, 4])), (5, 93, 2, 9, pack([1, 2])), (6, 92, 2, 9, pack([1, 2])), (7, 101, 2, 9, pack([1, 2]))]
+    members = spark.createDataFrame(rows, "ref long, class long, c long, need long, sigs array<binary>")
+    assert sorted(r.ref for r in jaccard._partnered(members).collect()) == [1, 2, 5]
+
+
 def test_jaccard_looks_up_lacking_sets(spark, monkeypatch):
     """With every set as a lacking one, and no signatures, all links are found by single shingles."""
     monkeypatch.setattr(jaccard, "_reduce", lambda table, paired, of=jaccard._reduce: of(table, paired).set_column(7, "lacking", [[True] * of(table, paired).num_rows]))
