@@ -271,3 +271,20 @@ def test_a_placeholder_visit_is_no_one_task(uncoalesced):
     light = len([i for i in range(n) if i % 10 >= 3]) + len([i for i in range(0, n, 7) if i % 10 >= 3])
     # Two shuffles have the light visits: their rows, and the count by visit with a row from each task for the heavy one.
     assert light in wrote and all(w < 200 for w in wrote if not light <= w <= light + 8 and w != n - n * 3 // 10 + 8), wrote
+
+
+def test_figures_share_the_shuffles_of_the_rows(spark):
+    """Lines are read once for each pull, whatever is counted of them beside the rows."""
+    from visitprep.plans import registry
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name in ("merge_ccdd", "link_long_two_pull"):
+            plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet [l_orderkey") == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
