@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from visitprep.llm import embeddings, graph, jaccard, mixing, repeats, suffix_array, suffix_tree
@@ -130,6 +132,32 @@ def test_documents_without_a_partner_leave_large_groups(spark):
     assert sorted(r.ref for r in jaccard._partnered(members).collect()) == [1, 2, 5]
 
 
+def test_packed_signatures_take_little_memory():
+    """Packed signatures are read from any slice, and no object is made of a single one."""
+    values = [[b"a" * 8, b"b" * 16], [], None, [b"c" * 8], [b"d" * 24, b"e" * 8]]
+    for kind in (pa.binary(), pa.large_binary()):
+        lists = pa.array(values, pa.list_(kind))
+        for given in (lists, lists[1:], lists[3:], lists[1:3], pa.chunked_array([lists[3:], lists[:0], lists[:4]]), pa.chunked_array([], pa.list_(kind))):
+            sigs, rows = jaccard._unpacked(given)
+            each = [(i, x[j : j + 8]) for i, own in enumerate(given.to_pylist()) for x in own or [] for j in range(0, len(x), 8)]
+            assert list(zip(rows.tolist(), [x.tobytes() for x in sigs], strict=True)) == each
+    many = pa.array([[bytes(8)] * 500] * 400, pa.list_(pa.binary()))
+    tracemalloc.start()
+    jaccard._unpacked(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * 8 * 500 * 400  # 66 bytes for each of eight before
+
+
+def test_counts_of_sets_among_themselves():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(9)]
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    apart = ~np.eye(9, dtype=bool)
+    assert np.array_equal(jaccard.shared_counts(sets, sets, 7)[apart], both[apart])
+    assert np.array_equal(jaccard.shared_counts(sets[:4], sets[4:], 7), both[:4, 4:])
+
+
 def test_jaccard_looks_up_lacking_sets(spark, monkeypatch):
     """With every set as a lacking one, and no signatures, all links are found by single shingles."""
     monkeypatch.setattr(jaccard, "_reduce", lambda table, paired, of=jaccard._reduce: of(table, paired).set_column(7, "lacking", [[True] * of(table, paired).num_rows]))
