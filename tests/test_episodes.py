@@ -288,3 +288,26 @@ def test_figures_share_the_shuffles_of_the_rows(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_flagged_inpatient_rows_and_counts_of_light_visits_do_not_travel(uncoalesced):
+    """Of 3,000 inpatient rows joined by their caller, the 2,000 flagged ones leave before that join; no count has a row for each visit."""
+    spark = uncoalesced
+    ed = spark.range(1_000, numPartitions=4).selectExpr("'H' as HospitalName", "cast(id as string) as Visit_ID", "1 as HasBeenE", "0 as HasBeenAdmitted", "timestamp_seconds(id) as C_Visit_Date_Time", "id as n")
+    lines = spark.range(3_000, numPartitions=4).selectExpr("id as k", "if(id % 3 = 0, 'R', 'A') as kind")
+    names = spark.range(5_000, numPartitions=4).selectExpr("id as k", "id + 7 as n")
+    da = lines.join(names.hint("merge"), "k").selectExpr("'H' as HospitalName", "cast(k as string) as Visit_ID", "case when kind = 'A' then 1 else 0 end as HasBeenE", "timestamp_seconds(k) as C_Visit_Date_Time", "n")
+    out = link_encounters(ed, da, return_format="long", order_key=["n"])
+    assert len(out.collect()) == 2_000
+    wrote = sorted(shuffled_rows(out))
+    # The inpatient lines that stay, the names that can meet them, and all rows by visit; all else is a row from each task or so.
+    assert [w for w in wrote if w > 100] == [1_000, 1_667, 2_000], wrote
+
+
+@pytest.mark.parametrize(("flags", "stay"), [((1, 0, None, 2), {1}), ((0, None, 2), {0, 1, 2}), ((1,), set()), ((), set())])
+def test_inpatient_rows_of_unclear_flags_stay_only_without_flagged_ones(spark, flags, stay):
+    ed = spark.createDataFrame([("H", "v", 1, 0)], "HospitalName string, Visit_ID string, HasBeenE int, HasBeenAdmitted int")
+    da = spark.createDataFrame([("H", f"w{i}", f) for i, f in enumerate(flags)], "HospitalName string, Visit_ID string, HasBeenE int")
+    for heavy in (None, 0):
+        out = link_encounters(ed, da, return_format="long", diagnostics_mode="off", heavy_rows=heavy)
+        assert {r.visit_id for r in out.collect()} == {"v"} | {f"w{i}" for i in stay}
