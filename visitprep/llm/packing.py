@@ -98,10 +98,10 @@ class WordEncoder:
         if self._SIMPLE.match(chunk):
             parts, words = [], self.words
             for word in self._WORD.findall(chunk.lower()):
-                ids = words.get(word)
+                ids = self.chunks.get(word) or words.get(word)  # a piece that is one such word is kept as a piece only
                 if ids is None:
                     ids = self.direct(word)
-                    if len(words) < CACHE_WORDS and len(word) <= 64:
+                    if (word != chunk or len(self.chunks) >= CACHE_CHUNKS) and len(words) < CACHE_WORDS and len(word) <= 64:
                         words[word] = ids
                 parts.append(ids)
             ids = b"".join(parts)
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         enc = encoder(path)
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 36)
         end = np.array([SEPARATOR_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.pieces(whole, "text")):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc_id, text in zip(common.column(batch, "doc_id").to_pylist(), common.strings(batch, "text"), strict=True):
                 ids = enc.encode(text) + end
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    placed = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA), "placed")
+    placed = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.trimmed_task(run), SCHEMA), "placed")
     used = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < capacity)
     groups = used.count() // JOINED + 1
     moved = used.groupBy(F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).alias("part")).applyInArrow(_joining(capacity, open_bins), "old_id long, new_id long, base long")
